@@ -1,0 +1,173 @@
+"""Operators that judge each document by itself, and exact deduplication."""
+
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from larkspur.llm import exact_dedup, packing, pii, quality_classifier, quality_rules, textstats
+from tests.llm import fixtures as X
+
+
+def test_text_stats(spark):
+    got = textstats.with_text_stats(X.documents(spark), "text", ["doc_id"]).collect()
+    want = {r[0]: X.word_stats(r[1]) for r in X.rows()}
+    assert {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got} == want
+
+
+def test_pii_base_spans_match_plain_patterns(spark):
+    got = {r.doc_id: [f"{x.kind}:{x.start}:{x.end}" for x in r.spans] for r in pii.find_pii(X.documents(spark)).collect()}
+    for r in X.rows():
+        assert [x for x in got[r[0]] if x.split(":")[0] in pii.BASE_KINDS] == X.spans(r[1])
+
+
+def test_pii_checksums_and_context(spark):
+    texts = ["iban DE89 3704 0044 0532 0130 00 x", "DE88370400440532013000", "ssn 123-45-6789", "no 123-45-6789", "call 212 555-1234", "is 212 555-1234"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [x.kind for x in r.spans] for r in pii.find_pii(docs).collect()}
+    assert got == {0: ["iban"], 1: [], 2: ["national_id"], 3: [], 4: ["local_phone"], 5: []}
+
+
+def test_pii_long_runs_stay_linear(spark):
+    texts = ["a" * 200_000, "1" * 200_000, "1." * 60_000, "x@" + "b." * 60_000, "+1" + "(" * 100_000, "1 " * 60_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: len(r.spans) for r in pii.find_pii(docs).collect()}
+    assert got == {0: 0, 1: 0, 2: 15_000, 3: 1, 4: 0, 5: 0}
+
+
+def test_redaction(spark):
+    docs = pii.find_pii(X.documents(spark), keep=["text"])
+    got = {r.doc_id: r.out for r in docs.select("doc_id", pii.redact(F.coalesce("text", F.lit("")), F.col("spans")).alias("out")).collect()}
+    i = next(k for k, t in enumerate(X.texts()) if t and t.startswith("card"))
+    assert got[3 * i] == "card <CARD> and 4111-1111-1111-1112 call <PHONE> or +12 34 phone <LOCAL_PHONE>"
+    assert got[3] == ""
+
+
+def test_exact_dedup(spark):
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept, bytes(r.digest).hex()) for r in exact_dedup.exact_dedup(X.documents(spark)).collect()}
+    groups = {}
+    for r in X.rows():
+        groups.setdefault(r[1] or "", []).append(r[0])
+    assert got == {d: (max(g), len(g), d == max(g), X.sha(t)) for t, g in groups.items() for d in g}
+
+
+def test_exact_dedup_keeps_one_of_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "a"), (1, "a"), (None, "a"), (None, None)], "doc_id long, text string")
+    got = exact_dedup.exact_dedup(docs).collect()
+    assert sorted((r.doc_id is None, r.keep_id, r.group_size, r.kept) for r in got if r.keep_id) == [
+        (False, 1, 3, False),
+        (False, 1, 3, True),
+        (True, 1, 3, False),
+    ]
+    assert [r.kept for r in got if r.keep_id is None] == [True]
+
+
+def test_exact_dedup_across_batches(spark, tmp_path):
+    at = f"file://{tmp_path}/index"
+    a = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    b = spark.createDataFrame([(3, "a"), (4, "c"), (5, "c")], "doc_id long, text string")
+    exact_dedup.exact_dedup(a, index_path=at).collect()
+    got = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup.exact_dedup(b, index_path=at).collect()}
+    assert got == {3: (1, False), 4: (5, False), 5: (5, True)}
+    again = {r.doc_id: r.kept for r in exact_dedup.exact_dedup(b, index_path=at).collect()}
+    assert again == {3: False, 4: False, 5: False}
+    assert exact_dedup.DigestIndex(spark, at, 4).read().count() == 3
+
+
+def test_index_join_does_not_shuffle_the_index(spark, tmp_path):
+    index = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index", 4)
+    batch = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    groups = batch.select(exact_dedup.text_digest(F.col("text")).alias("digest"), F.col("doc_id").alias("keep_id"))
+    index.append(groups)
+    plan = index.missing(groups)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def _pieces(spark, docs, window):
+    import public_tokenizers as P
+
+    return packing.pack(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, window).collect()
+
+
+@pytest.mark.parametrize("window", [16, 1024])
+def test_packing(spark, window):
+    import numpy as np
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    plain.encode_special_tokens = True
+    got = _pieces(spark, X.documents(spark).repartition(2), window)
+    by_doc, by_seq = {}, {}
+    for r in got:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        by_seq.setdefault(r.sequence_id, []).append(r)
+    assert set(by_doc) == {r[0] for r in X.rows()}
+    for doc_id, text, *_ in X.rows():
+        ids = plain.encode(text or "", add_special_tokens=False).ids + [0]
+        at = 0
+        for r in sorted(by_doc[doc_id], key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids)
+            assert r.ids_crc32 == zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes())
+            at += r.length
+        assert at == len(ids)
+    groups = {}
+    for s, pieces in by_seq.items():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at == pieces[0].sequence_length and at & (at - 1) == 0 and at <= window
+        groups.setdefault(pieces[0].step_group, set()).add((s, at))
+    assert all(len({n for _, n in g}) == 1 and len(g) <= packing.GROUP for g in groups.values())
+
+
+def test_classifier_on_held_out_labels(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/../sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = quality_classifier.classify(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
+    assert got["score"].between(0, 1).all()
+    assert ((got["predicted"] == 1) == (got["score"] >= 0.3)).all()
+    assert (got["predicted"] == got["quality"]).mean() > 0.9
+
+
+def test_classifier_without_labels_and_rows(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    got = quality_classifier.classify(X.documents(spark), none).collect()
+    assert len(got) == len(X.rows()) and {r.score for r in got} == {0.5}
+    assert quality_classifier.classify(X.empty(spark), none).count() == 0
+    one = spark.createDataFrame([(3, 1), (6, None), (9, 7), (None, 0)], "doc_id long, quality int")
+    assert {r.score for r in quality_classifier.classify(X.documents(spark), one).collect()} == {1.0}
+
+
+def test_isotonic():
+    import numpy as np
+
+    x, y = quality_classifier.pool_adjacent(np.arange(4.0), np.array([0, 1, 0, 1.0]), np.ones(4))
+    assert x.tolist() == [0, 1.5, 3] and y.tolist() == [0, 0.5, 1]
+
+
+def test_rules_on_labels(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/../sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    out, found = quality_rules.judge(docs, labels)
+    assert found.rules
+    got = out.join(labels, "doc_id").toPandas()
+    assert (got["kept"] == (got["quality"] == 1)).mean() > 0.85
+    assert not got[got["base_failed"]]["kept"].any()
+
+
+def test_rules_without_labels(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    out, found = quality_rules.judge(X.documents(spark), none)
+    assert not found.rules
+    for r in out.collect():
+        n, _, _, _, rep = X.word_stats(dict((x[0], x[1]) for x in X.rows())[r.doc_id])
+        assert r.base_failed == (n < 10 or 100 * rep > 20 * n) and r.kept != r.base_failed
+
+
+def test_empty_tables(spark):
+    e = X.empty(spark)
+    assert pii.find_pii(e).count() == 0
+    assert exact_dedup.exact_dedup(e).count() == 0
+    assert _pieces(spark, e, 64) == []
+    assert textstats.with_text_stats(e, "text", ["doc_id"]).count() == 0
+    assert quality_rules.judge(e, spark.createDataFrame([], "doc_id long, quality int"))[0].count() == 0
