@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import exact_dedup, packing, pii, quality_classifier, quality_rules
+from larkspur.llm import exact_dedup, packing, pii, quality_classifier, quality_rules, substring_dedup, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,12 +38,31 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), width=50, digest=True)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _ = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op4_pii, op6_exact_dedup, op7_packing, op9_quality_rules)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), width=400, digest=True)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_classifier,
+        op4_pii,
+        op6_exact_dedup,
+        op7_packing,
+        op8_substring_dedup,
+        op9_quality_rules,
+        op10_suffix_dedup,
+    )
+}
 
 ORACLE_SQL = {
     "op6_exact_dedup": """

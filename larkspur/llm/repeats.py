@@ -1,0 +1,153 @@
+"""Which fixed-width windows of documents occur elsewhere, without listing all windows.
+
+Units are words or bytes.  Each window of ``width`` units is represented by its anchor, the short
+gram inside it with the least hash.  Equal windows have equal anchors at equal offsets, so only
+one row per run of windows with one anchor is made (a block), about 2 rows per
+``width - gram`` units.  A block's class is its gram together with all units its windows cover.
+
+1. Blocks are counted by gram and class.  A class that occurs again settles all its windows.
+2. Where a gram has several classes, windows may be equal across classes (the passages end or
+   differ nearby).  One member of each class is extended to its full windows, and these are counted.
+
+Step 2 sees one member per class, so copies cost nothing there, and neither step lists pairs or
+gathers a group in one task: both are aggregations with partial sums followed by joins on
+unique keys.  Texts go through one exchange, which both joins with texts use.
+
+Windows are judged either against documents with a smaller id (``EARLIER``) or against any other
+start (``ANY``).  Names of grams, classes and windows have 96 bits or more.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from larkspur.llm.hashing import FIRST, SECOND, mix
+from larkspur.llm.storage import materialize
+
+EARLIER, ANY = "earlier document", "any other start"
+SEGMENT = 1 << 20  # windows of a document that are handled at once
+NO_ID = (1 << 63) - 1  # stands for a null id: larger than any other
+_POS = 28  # bits that hold a position while grams are compared
+
+
+def anchors(grams: np.ndarray, span: int) -> np.ndarray:
+    """For each run of ``span`` grams the position of the least (by its leading bits; leftmost)."""
+    least = (grams & ~np.uint64((1 << _POS) - 1)) | np.arange(len(grams), dtype=np.uint64)
+    size = 1
+    while size < span:
+        step = min(size, span - size)
+        least = np.minimum(least[:-step], least[step:])
+        size += step
+    return (least & np.uint64((1 << _POS) - 1)).astype(np.int64)
+
+
+def blocks(units: np.ndarray, width: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(gram hash, class hash, first window, windows) of each block, by segments."""
+    total = len(units) - width + 1
+    for at in range(0, max(0, total), SEGMENT):
+        part = units[at : at + SEGMENT + width - 1]
+        one, two = FIRST.prefix(part), SECOND.prefix(part)
+        grams = FIRST.windows(one, gram)
+        where = anchors(grams, width - gram + 1)
+        lo = np.concatenate([[0], np.flatnonzero(where[1:] != where[:-1]) + 1])
+        n = np.diff(np.concatenate([lo, [len(where)]]))
+        anchor = where[lo]
+        shape = mix((n * (2 * width) + (anchor - lo)).astype(np.uint64) + np.uint64(1))
+        yield grams[anchor].view(np.int64), (SECOND.window(two, lo, lo + n - 1 + width) ^ shape).view(np.int64), lo + at, n
+
+
+def windows(units: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the windows at ``starts``, segment by segment."""
+    one, two = np.empty(len(starts), np.int64), np.empty(len(starts), np.int32)
+    for at in range(0, max(0, len(units) - width + 1), SEGMENT):
+        here = (starts >= at) & (starts < at + SEGMENT)
+        if here.any():
+            part = units[at : at + SEGMENT + width - 1]
+            s = starts[here] - at
+            one[here] = FIRST.window(FIRST.prefix(part), s, s + width).view(np.int64)
+            two[here] = (SECOND.window(SECOND.prefix(part), s, s + width) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return one, two
+
+
+def unpack(codes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """First window and number of windows of each code."""
+    return codes // width, codes % width + 1
+
+
+def covered(codes, n_units: int, width: int) -> np.ndarray:
+    """Which units the windows named by ``codes`` cover."""
+    edge = np.zeros(n_units + 1, np.int64)
+    lo, n = unpack(np.asarray(codes, np.int64), width)
+    np.add.at(edge, lo, 1)
+    np.add.at(edge, lo + n - 1 + width, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, key, data): key tells rows with the same id but other texts apart."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(
+        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("key"), text.cast("binary").alias("data")
+    )
+
+
+def with_marks(
+    docs: DataFrame, units_of: Callable[[bytes], np.ndarray], width: int, gram: int, against: str, label: str
+) -> DataFrame:
+    """``docs`` (of :func:`keyed`) with ``marks``: codes of the windows found elsewhere, or null."""
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            parts = []
+            for id_, key, data in zip(pdf["id"], pdf["key"], pdf["data"]):
+                for g, c, lo, n in blocks(units_of(data), width, gram):
+                    parts.append((np.full(len(g), id_), np.full(len(g), key), g, c, lo * width + n - 1))
+            if parts:
+                yield pd.DataFrame(dict(zip(("id", "key", "gram", "class", "code"), map(np.concatenate, zip(*parts)))))
+
+    rows = materialize(docs.mapInPandas(find, "id long, key long, gram long, class long, code long"), f"{label}-blocks")
+    classes = rows.groupBy("gram", "class").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("id").alias("first_id"),
+        F.max("id").alias("last_id"),
+        F.min_by("key", "id").alias("key"),
+        F.min_by("code", "id").alias("code"),
+    )
+    # A gram that occurs once, or in one document only where others count, settles at once.
+    wide = (F.col("first_id") != F.col("last_id")) if against == EARLIER else (F.col("n") > 1)
+    grams = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    classes = materialize(classes.join(grams.where(wide).select("gram"), "gram", "left_semi"), f"{label}-classes")
+
+    again = rows.join(classes.where(wide).select("gram", "class", "first_id"), ["gram", "class"])
+    if against == EARLIER:
+        again = again.where(F.col("id") > F.col("first_id"))
+
+    several = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    members = classes.join(several, "gram", "left_semi").select(F.col("first_id").alias("id"), "key", "code")
+    lists = members.groupBy("id", "key").agg(F.collect_list("code").alias("codes"))
+
+    def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for id_, key, data, codes in zip(pdf["id"], pdf["key"], pdf["data"], pdf["codes"]):
+                lo, n = unpack(np.unique(np.asarray(codes, np.int64)), width)
+                starts = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                units = units_of(data)
+                for at in range(0, len(starts), 1 << 18):
+                    s = starts[at : at + (1 << 18)]
+                    one, two = windows(units, s, width)
+                    yield pd.DataFrame({"one": one, "two": two, "id": id_, "key": key, "start": s})
+
+    full = docs.join(lists, ["id", "key"])
+    full = materialize(full.mapInPandas(extend, "one long, two int, id long, key long, start long"), f"{label}-windows")
+    names = full.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    found = full.join(names.where(wide).select("one", "two", "first_id"), ["one", "two"])
+    if against == EARLIER:
+        found = found.where(F.col("id") > F.col("first_id"))
+    codes = again.select("id", "key", "code").unionByName(found.select("id", "key", (F.col("start") * width).alias("code")))
+    marks = codes.groupBy("id", "key").agg(F.collect_list("code").alias("marks"))
+    return docs.join(marks, ["id", "key"], "left")
