@@ -39,7 +39,7 @@ def test_table(spark, sf_dir):
 def test_texts_come_back(spark):
     docs = spark.createDataFrame([(1, "a b c d e"), (2, "x a b c d y"), (None, "a b c d")], "doc_id long, text string")
     assert rows_of(substring_dedup.remove_repeats(docs, 4)) == {1: (5, 0, "a b c d e"), 2: (6, 4, "x y"), None: (4, 4, "")}
-    assert rows_of(suffix_dedup.remove_repeats(docs, 7)) == {1: (9, 7, 1, b" e"), 2: (11, 7, 1, b"x  y"), None: (7, 7, 1, b"")}
+    assert rows_of(suffix_dedup.remove_repeats(docs, 7)) == {1: (9, 8, 1, b"e"), 2: (11, 8, 1, b"x y"), None: (7, 7, 1, b"")}
 
 
 def test_repeated_rows_and_empty(spark):
