@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import exact_dedup, packing, pii, quality_classifier, quality_rules, substring_dedup, suffix_dedup
+from larkspur.llm import exact_dedup, jaccard_join, packing, pii, quality_classifier, quality_rules, substring_dedup, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_components(table(spark, sf_dir, "documents"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
     of = lambda kinds: F.filter("spans", lambda x: x["kind"].isin(*kinds))
@@ -55,6 +59,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_classifier,
+        op3_jaccard_join,
         op4_pii,
         op6_exact_dedup,
         op7_packing,
