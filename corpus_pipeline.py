@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import exact_dedup, packing, pii, quality_classifier
+from larkspur.llm import exact_dedup, jaccard_join, packing, pii, quality_classifier
 from larkspur.llm.storage import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -32,6 +32,13 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(*COLUMNS)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of similar documents keep the one with the smallest id."""
+    found = jaccard_join.similar_components(docs)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(*COLUMNS)
+
+
 def scrub(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data; n_chars follows the text."""
     found = pii.find_pii(docs, keep=["text", "lang", "source"])
@@ -46,7 +53,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES = [("quality classifier", quality), ("exact dedup", exact), ("pii", scrub), ("packing", pack)]
+STAGES = [("quality classifier", quality), ("exact dedup", exact), ("n-gram jaccard join", near), ("pii", scrub), ("packing", pack)]
 
 # Scores, redaction and token ids are beyond SQL; tests hold the stages against plain Python.
 ORACLE_SQL = None
