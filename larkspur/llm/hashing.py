@@ -31,8 +31,13 @@ def word_units(data: bytes) -> np.ndarray:
 _BYTES = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
 
 
-def byte_units(data: bytes) -> np.ndarray:
-    return _BYTES[np.frombuffer(data, np.uint8)]
+def byte_numbers(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8)
+
+
+def byte_units(numbers: np.ndarray) -> np.ndarray:
+    """A hash per byte."""
+    return _BYTES[numbers]
 
 
 class Polynomial:

@@ -3,18 +3,20 @@
 Units are words or bytes.  Each window of ``width`` units is represented by its anchor, the short
 gram inside it with the least hash.  Equal windows have equal anchors at equal offsets, so only
 one row per run of windows with one anchor is made (a block), about 2 rows per
-``width - gram`` units.  A block's class is its gram together with all units its windows cover.
+``width - gram`` units.  A run of windows has a core, the units that all of its windows hold, and a
+class, all units that any of them holds.
 
-1. Blocks are counted by gram and class.  A class that occurs again settles all its windows.
-2. Where a gram has several classes, windows may be equal across classes (the passages end or
-   differ nearby).  One member of each class is extended to its full windows, and these are counted.
+1. Blocks are counted by core (at first the anchor gram) and class.  A core that occurs once
+   settles its run: nothing in it repeats.  A class that occurs again settles it too: all repeats.
+2. Where a core has several classes, windows may be equal across them (the passages end or differ
+   nearby).  Members of each class go on with the units around their block, and their runs are cut
+   into cells at fixed offsets from the anchor, 64, 8 and at last 1 window long, and counted again.
 
-Step 2 sees one member per class, so copies cost nothing there, and neither step lists pairs or
-gathers a group in one task: both are aggregations with partial sums followed by joins on
-unique keys.  Texts go through one exchange, which both joins with texts use.
+Copies settle in step 1, and a passage's ends cost a few rows each.  Nothing lists pairs or gathers a
+group in one task: counts are aggregations with partial sums, and joins meet unique keys.
 
 Windows are judged either against documents with a smaller id (``EARLIER``) or against any other
-start (``ANY``).  Names of grams, classes and windows have 96 bits or more.
+start (``ANY``).  Names of cores, classes and windows have 96 bits or more.
 """
 
 from __future__ import annotations
@@ -27,11 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.hashing import FIRST, SECOND, mix
-from larkspur.llm.storage import materialize
+from larkspur.llm.storage import discard, materialize, release
 
 EARLIER, ANY = "earlier document", "any other start"
 SEGMENT = 1 << 20  # windows of a document that are handled at once
 NO_ID = (1 << 63) - 1  # stands for a null id: larger than any other
+STEP = 8  # cells of one level make one of the level above
+CONTEXT = ["block", "id", "key", "lo", "n", "anchor", "raw", "parents"]
+CELL = ["block", "id", "key", "cell", "core1", "core2", "class", "code"]
+Raw = Callable[[bytes], np.ndarray]
+Units = Callable[[np.ndarray], np.ndarray]
 _POS = 28  # bits that hold a position while grams are compared
 
 
@@ -46,11 +53,11 @@ def anchors(grams: np.ndarray, span: int) -> np.ndarray:
     return (least & np.uint64((1 << _POS) - 1)).astype(np.int64)
 
 
-def blocks(units: np.ndarray, width: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(gram hash, class hash, first window, windows) of each block, by segments."""
+def blocks(units: np.ndarray, width: int, gram: int, segment: int = SEGMENT) -> Iterator[tuple[np.ndarray, ...]]:
+    """(gram hash, class hash, first window, windows, anchor from the first) of each block, by segments."""
     total = len(units) - width + 1
-    for at in range(0, max(0, total), SEGMENT):
-        part = units[at : at + SEGMENT + width - 1]
+    for at in range(0, max(0, total), segment):
+        part = units[at : at + segment + width - 1]
         one, two = FIRST.prefix(part), SECOND.prefix(part)
         grams = FIRST.windows(one, gram)
         where = anchors(grams, width - gram + 1)
@@ -58,36 +65,40 @@ def blocks(units: np.ndarray, width: int, gram: int) -> Iterator[tuple[np.ndarra
         n = np.diff(np.concatenate([lo, [len(where)]]))
         anchor = where[lo]
         shape = mix((n * (2 * width) + (anchor - lo)).astype(np.uint64) + np.uint64(1))
-        yield grams[anchor].view(np.int64), (SECOND.window(two, lo, lo + n - 1 + width) ^ shape).view(np.int64), lo + at, n
-
-
-def windows(units: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of the windows at ``starts``, segment by segment."""
-    one, two = np.empty(len(starts), np.int64), np.empty(len(starts), np.int32)
-    for at in range(0, max(0, len(units) - width + 1), SEGMENT):
-        here = (starts >= at) & (starts < at + SEGMENT)
-        if here.any():
-            part = units[at : at + SEGMENT + width - 1]
-            s = starts[here] - at
-            one[here] = FIRST.window(FIRST.prefix(part), s, s + width).view(np.int64)
-            two[here] = (SECOND.window(SECOND.prefix(part), s, s + width) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-    return one, two
-
-
-def unpack(codes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """First window and number of windows of each code."""
-    return codes // width, codes % width + 1
+        whole = SECOND.window(two, lo, lo + n - 1 + width) ^ shape
+        yield grams[anchor].view(np.int64), whole.view(np.int64), lo + at, n, anchor - lo
 
 
 def covered(codes, n_units: int, width: int) -> np.ndarray:
     """Which units the windows named by ``codes`` cover."""
     edge = np.zeros(n_units + 1, np.int64)
-    lo, n = unpack(np.asarray(codes, np.int64), width)
+    lo, n = np.divmod(np.asarray(codes, np.int64), width)
     np.add.at(edge, lo, 1)
-    np.add.at(edge, lo + n - 1 + width, -1)
+    np.add.at(edge, lo + n + width, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
+def cells(units: np.ndarray, n: int, anchor: int, chosen: np.ndarray, size: int, width: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Cells of a block, of which ``units`` are all units, ``n`` windows, the anchor at ``anchor``.
+
+    A cell is the windows whose distance to the anchor, divided by ``size``, is in ``chosen``.
+    Returns the cells that the block meets and, of each, two core hashes, the class hash, the
+    first window and the number of windows.
+    """
+    near, far = chosen * size, np.minimum(chosen * size + size - 1, width - gram)
+    from_, to = np.maximum(near, anchor - n + 1), np.minimum(far, anchor)
+    met = (from_ <= to) & (near <= far)
+    chosen, near, far, from_, to = (x[met] for x in (chosen, near, far, from_, to))
+    one, two = FIRST.prefix(units), SECOND.prefix(units)
+    core = (anchor - near, anchor - far + width)
+    shape = mix((from_ * (2 * width) + to + 1).astype(np.uint64))
+    whole = SECOND.window(two, anchor - to, anchor - from_ + width) ^ shape
+    place = mix(chosen.astype(np.uint64) + np.uint64(size))
+    first = (FIRST.window(one, *core) ^ place).view(np.int64)
+    second = (SECOND.window(two, *core) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return chosen, first, second, whole.view(np.int64), anchor - to, to - from_ + 1
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, key, data): key tells rows with the same id but other texts apart."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -96,58 +107,107 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def _settle(rows: DataFrame, core: list[str], against: str, label: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose whole class repeats, rows that have to be looked at more closely).
+
+    ``rows`` has row, id, the columns of ``core`` and class.
+    """
+    sums = (F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    wide = (F.col("first_id") != F.col("last_id")) if against == EARLIER else (F.col("n") > 1)
+    cores = rows.groupBy(*core).agg(*sums).where(wide).select(*core)
+    classes = rows.groupBy(*core, "class").agg(*sums, F.min("row").alias("one"))
+    classes = materialize(classes.join(cores, core, "left_semi"), f"{label}-classes")
+    again = rows.join(classes.where(wide).select(*core, "class", "first_id"), [*core, "class"])
+    if against == EARLIER:
+        again = again.where(F.col("id") > F.col("first_id"))
+    several = classes.groupBy(*core).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(*core)
+    left = rows.join(classes.join(several, core, "left_semi").select(*core, "class", "first_id", "one"), [*core, "class"])
+    # Later members of a class repeat already; where any start counts, one member stands for all.
+    left = left.where(F.col("id") == F.col("first_id")) if against == EARLIER else left.where(F.col("row") == F.col("one"))
+    return again.select(rows.columns), left.select(rows.columns)
+
+
 def with_marks(
-    docs: DataFrame, units_of: Callable[[bytes], np.ndarray], width: int, gram: int, against: str, label: str
+    docs: DataFrame, raw_of: Raw, units_of: Units, width: int, gram: int, against: str, label: str, segment: int = SEGMENT
 ) -> DataFrame:
-    """``docs`` (of :func:`keyed`) with ``marks``: codes of the windows found elsewhere, or null."""
+    """``docs`` (of :func:`keyed`) with ``marks``: codes of the windows found elsewhere, or null.
+
+    ``raw_of`` gives the units of a text as numbers and ``units_of`` hashes these.
+    """
+    kind = raw_of(b"").dtype
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             parts = []
             for id_, key, data in zip(pdf["id"], pdf["key"], pdf["data"]):
-                for g, c, lo, n in blocks(units_of(data), width, gram):
-                    parts.append((np.full(len(g), id_), np.full(len(g), key), g, c, lo * width + n - 1))
+                for g, c, lo, n, anchor in blocks(units_of(raw_of(data)), width, gram, segment):
+                    code = (lo * width + n - 1) * width + anchor
+                    parts.append((np.full(len(g), id_), np.full(len(g), key), g, c, code))
             if parts:
                 yield pd.DataFrame(dict(zip(("id", "key", "gram", "class", "code"), map(np.concatenate, zip(*parts)))))
 
-    rows = materialize(docs.mapInPandas(find, "id long, key long, gram long, class long, code long"), f"{label}-blocks")
-    classes = rows.groupBy("gram", "class").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("id").alias("first_id"),
-        F.max("id").alias("last_id"),
-        F.min_by("key", "id").alias("key"),
-        F.min_by("code", "id").alias("code"),
-    )
-    # A gram that occurs once, or in one document only where others count, settles at once.
-    wide = (F.col("first_id") != F.col("last_id")) if against == EARLIER else (F.col("n") > 1)
-    grams = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
-    classes = materialize(classes.join(grams.where(wide).select("gram"), "gram", "left_semi"), f"{label}-classes")
+    rows = docs.mapInPandas(find, "id long, key long, gram long, class long, code long")
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), f"{label}-blocks")
+    again, left = _settle(rows, ["gram"], against, label)
+    marks = [again.select("id", "key", F.expr(f"code div {width}").alias("code"))]
+    lists = left.groupBy("id", "key").agg(F.collect_list("row").alias("blocks"), F.collect_list("code").alias("codes"))
 
-    again = rows.join(classes.where(wide).select("gram", "class", "first_id"), ["gram", "class"])
-    if against == EARLIER:
-        again = again.where(F.col("id") > F.col("first_id"))
-
-    several = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    members = classes.join(several, "gram", "left_semi").select(F.col("first_id").alias("id"), "key", "code")
-    lists = members.groupBy("id", "key").agg(F.collect_list("code").alias("codes"))
-
-    def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def context(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for id_, key, data, codes in zip(pdf["id"], pdf["key"], pdf["data"], pdf["codes"]):
-                lo, n = unpack(np.unique(np.asarray(codes, np.int64)), width)
-                starts = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                units = units_of(data)
-                for at in range(0, len(starts), 1 << 18):
-                    s = starts[at : at + (1 << 18)]
-                    one, two = windows(units, s, width)
-                    yield pd.DataFrame({"one": one, "two": two, "id": id_, "key": key, "start": s})
-
-    full = docs.join(lists, ["id", "key"])
-    full = materialize(full.mapInPandas(extend, "one long, two int, id long, key long, start long"), f"{label}-windows")
-    names = full.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
-    found = full.join(names.where(wide).select("one", "two", "first_id"), ["one", "two"])
-    if against == EARLIER:
-        found = found.where(F.col("id") > F.col("first_id"))
-    codes = again.select("id", "key", "code").unionByName(found.select("id", "key", (F.col("start") * width).alias("code")))
-    marks = codes.groupBy("id", "key").agg(F.collect_list("code").alias("marks"))
-    return docs.join(marks, ["id", "key"], "left")
+            out = []
+            for id_, key, data, names, codes in zip(pdf["id"], pdf["key"], pdf["data"], pdf["blocks"], pdf["codes"]):
+                raw = raw_of(data)
+                for name, code in zip(names, codes):
+                    place, anchor = divmod(int(code), width)
+                    lo, n = divmod(place, width)
+                    out.append((name, id_, key, lo, n + 1, anchor, raw[lo : lo + n + width].tobytes()))
+                if len(out) > 20_000:
+                    yield pd.DataFrame(out, columns=["block", "id", "key", "lo", "n", "anchor", "raw"])
+                    out = []
+            yield pd.DataFrame(out, columns=["block", "id", "key", "lo", "n", "anchor", "raw"])
+
+    around = docs.join(lists, ["id", "key"]).mapInPandas(
+        context, "block long, id long, key long, lo long, n int, anchor int, raw binary"
+    )
+    around = materialize(around, f"{label}-contexts")
+    release(docs.sparkSession)
+    size = 1
+    while size * STEP <= width - gram + 1:
+        size *= STEP
+    todo = None  # (block, parents): cells of the level before; all cells at first
+    parent = 0
+    while size:
+        some = around.withColumn("parents", F.lit(None).cast("array<int>")) if todo is None else around.join(todo, "block")
+
+        def cut(batches: Iterator[pd.DataFrame], size: int = size, parent: int = parent) -> Iterator[pd.DataFrame]:
+            every = np.arange(-(-(width - gram + 1) // size))
+            for pdf in batches:
+                parts = []
+                for block, id_, key, lo, n, anchor, raw, parents in zip(*(pdf[c] for c in CONTEXT)):
+                    chosen = every
+                    if parents is not None:
+                        ratio = parent // size
+                        chosen = (np.unique(np.asarray(parents, np.int64))[:, None] * ratio + np.arange(ratio)).ravel()
+                    cell, c1, c2, whole, at, k = cells(units_of(np.frombuffer(raw, kind)), n, anchor, chosen, size, width, gram)
+                    same = [np.full(len(cell), x, np.int64) for x in (block, id_, key)]
+                    parts.append((*same, cell.astype(np.int32), c1, c2, whole, (lo + at) * width + k - 1))
+                    if len(parts) >= 5_000:
+                        yield pd.DataFrame(dict(zip(CELL, map(np.concatenate, zip(*parts)))))
+                        parts = []
+                if parts:
+                    yield pd.DataFrame(dict(zip(CELL, map(np.concatenate, zip(*parts)))))
+
+        found = some.mapInPandas(cut, "block long, id long, key long, cell int, core1 long, core2 int, class long, code long")
+        found = materialize(found.withColumn("row", F.monotonically_increasing_id()), f"{label}-cells")
+        again, left = _settle(found, ["core1", "core2"], against, label)
+        marks.append(again.select("id", "key", "code"))
+        todo = left.groupBy("block").agg(F.collect_set("cell").alias("parents"))
+        parent, size = size, size // STEP
+    codes = marks[0]
+    for m in marks[1:]:
+        codes = codes.unionByName(m)
+    codes = materialize(codes.groupBy("id", "key").agg(F.collect_list("code").alias("marks")), f"{label}-marks")
+    for table in (rows, around):
+        discard(table)
+    release(docs.sparkSession)
+    return docs.join(codes, ["id", "key"], "left")

@@ -23,6 +23,10 @@ from pyspark.sql import functions as F
 from larkspur.llm import repeats
 from larkspur.llm.hashing import word_units
 
+def _same(units: np.ndarray) -> np.ndarray:
+    return units
+
+
 SCHEMA = "doc_id long, n_words long, n_removed long, kept string"
 
 
@@ -33,7 +37,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
     smaller id.  With ``digest`` the last column is kept_sha256 instead.
     """
     texts = repeats.keyed(docs, id_col, text_col)
-    marked = repeats.with_marks(texts, word_units, width, max(1, width // 2), repeats.EARLIER, "substring")
+    marked = repeats.with_marks(texts, word_units, _same, width, max(1, width // 2), repeats.EARLIER, "substring")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

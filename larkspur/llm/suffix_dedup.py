@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import repeats
-from larkspur.llm.hashing import byte_units
+from larkspur.llm.hashing import byte_numbers, byte_units
 
 
 def remove_repeats(docs: DataFrame, width: int = 400, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
@@ -32,7 +32,7 @@ def remove_repeats(docs: DataFrame, width: int = 400, id_col: str = "doc_id", te
     ``digest`` the last column is kept_sha256 instead.
     """
     texts = repeats.keyed(docs, id_col, text_col)
-    marked = repeats.with_marks(texts, byte_units, width, max(1, width // 4), repeats.ANY, "suffix")
+    marked = repeats.with_marks(texts, byte_numbers, byte_units, width, max(1, width // 4), repeats.ANY, "suffix")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -1,12 +1,11 @@
 """Repeated windows of words and bytes against a listing of all windows."""
 
-import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from larkspur.llm import repeats, substring_dedup, suffix_dedup
-from larkspur.llm.hashing import byte_units, word_units
+from larkspur.llm.hashing import byte_numbers, byte_units, word_units
 from tests.llm import fixtures as X
 
 
@@ -54,17 +53,43 @@ def test_repeated_rows_and_empty(spark):
 @given(st.binary(max_size=80), st.integers(1, 12), st.integers(1, 12))
 def test_blocks_cover_every_window_once(data, a, b):
     width, gram = max(a, b), min(a, b)
-    units = byte_units(bytes(x % 3 for x in data))
-    seen = [s for _, _, lo, n in repeats.blocks(units, width, gram) for x, k in zip(lo, n) for s in range(x, x + k)]
+    units = byte_units(byte_numbers(bytes(x % 3 for x in data)))
+    seen = [s for _, _, lo, n, _ in repeats.blocks(units, width, gram) for x, k in zip(lo, n) for s in range(x, x + k)]
     assert seen == list(range(max(0, len(units) - width + 1)))
 
 
-def test_segments_do_not_change_the_windows(monkeypatch):
-    units = word_units(b" ".join(b"w%d" % (i * i % 61) for i in range(500)))
-    whole = repeats.windows(units, np.arange(480), 20)
-    monkeypatch.setattr(repeats, "SEGMENT", 64)
-    parts = repeats.windows(units, np.arange(480), 20)
-    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
+def test_segments_do_not_change_the_result(spark):
+    want = X.repeated_windows(PAIRS, 12)
+    texts = repeats.keyed(X.documents(spark), "doc_id", "text")
+    parts = [len(list(repeats.blocks(word_units((t or "").encode()), 12, 6, 32))) for _, t in PAIRS]
+    assert max(parts) > 10
+    got = repeats.with_marks(texts, word_units, substring_dedup._same, 12, 6, repeats.EARLIER, "test", 32)
+    for r in got.collect():
+        n = len(X.WORD.findall(bytes(r.data).decode()))
+        mask = repeats.covered(r.marks, n, 12) if r.marks else []
+        assert (n, int(sum(mask))) == want[r.id][:2]
+
+
+def test_passages_twice_in_one_document_and_cut_at_odd_places(spark):
+    import random
+
+    rng = random.Random(3)
+    words = [f"v{i}" for i in range(90)]
+    passages = [" ".join(rng.choice(words) for _ in range(rng.randrange(8, 60))) for _ in range(12)]
+    docs = []
+    for d in range(60):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            p = rng.choice(passages).split()
+            i = rng.randrange(0, 6)
+            parts.append(" ".join(p[i : len(p) - rng.randrange(0, 6)]))
+            parts.append(" ".join(rng.choice(words) for _ in range(rng.randrange(0, 4))))
+        docs.append((d, " ".join(parts)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for width in (5, 20):
+        assert rows_of(substring_dedup.remove_repeats(frame, width, digest=True)) == X.repeated_windows(docs, width)
+    for width in (30, 200):
+        assert rows_of(suffix_dedup.remove_repeats(frame, width, digest=True)) == X.repeated_bytes(docs, width)
 
 
 def test_words_split_at_six_blanks_only():
