@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.exprs import loose_number
+from larkspur.operators.prefix import running_total
 
 
 def pending(work: DataFrame, cached: DataFrame, key: str) -> DataFrame:
@@ -14,18 +15,9 @@ def pending(work: DataFrame, cached: DataFrame, key: str) -> DataFrame:
 
 
 def batches(rows: DataFrame, order: str, size: int) -> DataFrame:
-    """Number consecutive rows in batches; a batch is named by its first position.
-
-    Positions come from counts per range partition, not from one global window: rows are sorted by
-    range, each partition numbers its own, and the offsets of earlier partitions are added.
-    """
-    ranged = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id())
-    own = ranged.withColumn("__rn", F.row_number().over(Window.partitionBy("__part").orderBy(order)))
-    counts = own.groupBy("__part").agg(F.max("__rn").alias("__k"))  # a row per partition
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__part", F.coalesce(F.sum("__k").over(before), F.lit(0)).alias("__before"))
-    placed = own.join(F.broadcast(offsets), "__part").withColumn("pos", F.col("__before") + F.col("__rn") - 1)
-    return placed.withColumn("batch", F.expr(f"pos div {size}")).drop("__part", "__rn", "__before")
+    """Number rows in the order of a unique column and cut them into consecutive batches."""
+    placed = running_total(rows, order, 1, "pos")
+    return placed.withColumn("batch", F.expr(f"pos div {size}"))
 
 
 def keep_last(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
