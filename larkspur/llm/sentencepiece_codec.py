@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 REMEMBERED = 400_000  # runs and pairs that a codec keeps at most
 SHORT = 48  # longer runs are not remembered
-COMMIT_EVERY = 256  # positions between looks for a common boundary
+COMMIT_EVERY = 256  # positions between looks for a common boundary; more than the longest piece
 
 
 class Codec:
@@ -58,8 +58,17 @@ class Codec:
         alone = "\n" if not any("\n" in p for p in self.ids) else ""
         self.runs = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|{alone}" if alone else "")).findall
         self.remembered: dict[str, list[int]] = {}
-        self.fitting: dict[tuple[str, str], bool] = {}
-        self.whole = {p: self.merged(p) == [p] for p in self.ids}  # pieces that merging can make
+        self.fitting: dict[int, bool] = {}
+        if not all(c in self.ids for p in self.ids for c in p):
+            raise ValueError("every sign of a piece has to be a piece")
+        # A tree of the pieces that merging can make: sign -> (id or -1, tree of what may follow).
+        self.tree: dict = {}
+        for piece, i in sorted(self.ids.items(), key=lambda x: len(x[0])):
+            if self.merged(piece) == [piece]:
+                here = self.tree
+                for sign in piece[:-1]:
+                    here = here.setdefault(sign, (-1, {}))[1]
+                here[piece[-1]] = (i, here[piece[-1]][1] if piece[-1] in here else {})
         shown = [p.replace(MARK, " ").encode() for p in self.text]
         for value, i in self.byte.items():
             shown[i] = bytes([value])
@@ -79,71 +88,81 @@ class Codec:
             k = best[1]
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
 
-    def fits(self, before: str, piece: str) -> bool:
-        """Whether merging leaves the two as they are when they meet."""
-        key = (before, piece)
-        known = self.fitting.get(key)
-        if known is None:
-            if len(self.fitting) >= REMEMBERED:
-                self.fitting.clear()
-            known = self.fitting[key] = self.merged(before + piece) == [before, piece]
+    def fits(self, before: int, piece: int) -> bool:
+        """Whether merging leaves two pieces as they are when they meet."""
+        one, two = self.text[before], self.text[piece]
+        if len(self.fitting) >= REMEMBERED:
+            self.fitting.clear()
+        known = self.fitting[before << 16 | piece] = self.merged(one + two) == [one, two]
         return known
 
-    def search(self, run: str) -> Iterator[str]:
-        """The pieces of ``run``, committed as soon as all surviving paths agree on them."""
-        done = 0  # all paths go through this boundary; what is before it is committed
-        last: list[str] = []  # last[j]: the piece that ends at done + j + 1
-        vocabulary, whole, fits, longest, seen = self.ids, self.whole, self.fits, self.longest, 0
-        for end in range(1, len(run) + 1):
-            found = None
-            for start in range(max(done, end - longest), end):
-                piece = run[start:end]
-                if piece in vocabulary and whole[piece]:
-                    if start == done or fits(last[start - done - 1], piece):
-                        found = piece
-                        break
-            last.append(found if found is not None else run[end - 1])
-            if end - seen >= COMMIT_EVERY:
-                seen = end
-                common = self._common(last, max(0, len(last) - longest))
-                # The piece before the boundary is still needed to judge what follows.
-                if common > 0:
-                    path = self._path(last, common)
-                    yield from path[:-1]
-                    keep = len(path[-1])
-                    cut = common - keep
-                    last, done = last[cut:], done + cut
-                    # Paths restart at the kept piece, which all of them contain.
-                    last = [*last[: keep - 1], path[-1], *last[keep:]]
-        if run:
-            yield from self._path(last, len(last))
-
-    @staticmethod
-    def _common(last: list[str], oldest: int) -> int:
-        """The largest boundary that the paths of all ends from ``oldest`` on go through."""
-        ends = set(range(oldest, len(last) + 1))
-        while len(ends) > 1:
-            top = max(ends)
-            ends.remove(top)
-            ends.add(top - len(last[top - 1]))
-        return ends.pop()
-
-    @staticmethod
-    def _path(last: list[str], end: int) -> list[str]:
+    def search(self, run: str) -> Iterator[int]:
+        """The ids of the pieces of ``run``, committed as soon as all surviving paths agree on them.
+
+        Signs without a piece come as -1 - code point.
+        """
+        size, tree, fitting, fits = len(run), self.tree, self.fitting, self.fits
+        last: list = [None] * (size + 1)  # last[j]: the piece that ends at j on the path to j
+        done, seen = 0, COMMIT_EVERY  # ids up to done are committed but for the piece that ends there
+        for at in range(size):
+            before = last[at]
+            if before is None and at:
+                before = last[at] = -1 - ord(run[at - 1])
+            end, follow = at, tree
+            pair = -1 if before is None or before < 0 else before << 16
+            while end < size:
+                step = follow.get(run[end])
+                if step is None:
+                    break
+                piece, follow = step
+                end += 1
+                if piece >= 0 and last[end] is None:
+                    if pair < 0:
+                        last[end] = piece
+                    else:
+                        known = fitting.get(pair | piece)
+                        if known or known is None and fits(before, piece):
+                            last[end] = piece
+            if at >= seen:
+                seen = at + COMMIT_EVERY
+                # Paths go on from here or from an end ahead that a piece has reached already.
+                ahead = [j for j in range(at + 1, min(size, at + self.longest) + 1) if last[j] is not None]
+                common = self._common(last, [at, *ahead], done)
+                if common > done:
+                    yield from self._path(last, done, common)
+                    last[done:common] = [None] * (common - done)
+                    done = common
+        if size:
+            if last[size] is None:
+                last[size] = -1 - ord(run[-1])
+            yield from self._path(last, done, size)
+
+    def _length(self, piece: int) -> int:
+        return 1 if piece < 0 else len(self.text[piece])
+
+    def _common(self, last: list, ends: list[int], done: int) -> int:
+        """The largest boundary that the paths of all ``ends`` go through."""
+        left = set(ends)
+        while len(left) > 1:
+            top = max(left)
+            left.remove(top)
+            left.add(max(done, top - self._length(last[top])))
+        return left.pop()
+
+    def _path(self, last: list, start: int, end: int) -> list[int]:
         out = []
-        while end:
-            out.append(last[end - 1])
-            end -= len(last[end - 1])
+        while end > start:
+            out.append(last[end])
+            end -= self._length(last[end])
         return out[::-1]
 
-    def _ids(self, pieces: Iterator[str]) -> list[int]:
+    def _ids(self, pieces: Iterator[int]) -> list[int]:
         out = []
         for p in pieces:
-            i = self.ids.get(p)
-            if i is None:
-                out.extend(self.byte[b] for b in p.encode())
+            if p >= 0:
+                out.append(p)
             else:
-                out.append(i)
+                out.extend(self.byte[b] for b in chr(-1 - p).encode())
         return out
 
     def encode(self, text: str) -> list[int]:

@@ -105,7 +105,7 @@ def test_commits_do_not_change_the_path(monkeypatch):
     texts = ["the" * 700, "abcdefghij" * 90, "日本語" * 300, "1234567890" * 50]
     monkeypatch.setattr(sentencepiece_codec, "COMMIT_EVERY", 10**9)
     whole = [list(tool.search(t)) for t in texts]
-    for every in (17, 64):
+    for every in (1, 17, 64):
         monkeypatch.setattr(sentencepiece_codec, "COMMIT_EVERY", every)
         assert [list(tool.search(t)) for t in texts] == whole
 
