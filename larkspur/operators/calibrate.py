@@ -44,6 +44,15 @@ def sparse_shrink(pred: Column | str, risk: Column, alpha: float, centre: Column
     return p if alpha >= 1 else F.when(risk, centre + alpha * (p - centre)).otherwise(p)
 
 
+def finalise(x: DataFrame, pred: str, out: str, debias=None, scale: float = 1.0, clipped: Column | None = None) -> DataFrame:
+    """The chain of corrections: soft clip (if given), monotone map (a fitted :class:`Debias`), scale."""
+    x = x.withColumn("__in", col(pred) if clipped is None else clipped)
+    if debias is None:
+        return x.withColumn(out, scale_price("__in", scale)).drop("__in")
+    mapped = debias.apply(x.drop(pred).withColumnRenamed("__in", pred), pred, "__mapped")
+    return mapped.withColumn(out, scale_price("__mapped", scale)).drop("__mapped")
+
+
 def edge_features(price: str, tax: str, listing: str, area: str) -> dict[str, Column]:
     return {
         "edge_base_log": F.log1p(F.greatest(F.col(price), F.lit(0.0))),
@@ -89,7 +98,7 @@ class Debias:
     def apply(self, x: DataFrame, pred: str, out: str) -> DataFrame:
         if self.method == "linear":
             return x.withColumn(out, self.a + self.b * F.col(pred))
-        return self.model.transform(x.withColumn("__w", F.lit(1.0))).drop("__w")
+        return self.model.transform(x).withColumnRenamed(self.model.getPredictionCol(), out)
 
 
 def fit_line(x: DataFrame, pred: str, real: str) -> tuple[float, float]:

@@ -98,6 +98,48 @@ def grid_best(x: DataFrame, grid: list[tuple[float, float]], price: str, pred: s
     return out.orderBy("over_rate", "wmape", "threshold", "alpha").limit(1)
 
 
+def choice_errors(x: DataFrame, actual: str, choices: dict) -> DataFrame:
+    """(choice, wmape) of several predictions of one table, in one pass."""
+    from larkspur.operators.metrics import wmape
+
+    row = x.withColumns({f"__c{i}": c for i, c in enumerate(choices.values())}).agg(*[wmape(actual, f"__c{i}").alias(f"w{i}") for i in range(len(choices))])
+    cells = [F.struct(F.lit(float(k)).alias("choice"), F.col(f"w{i}").alias("wmape")) for i, k in enumerate(choices)]
+    return row.select(F.explode(F.array(*cells)).alias("s")).select("s.*")
+
+
+def best_within(scored: DataFrame, base: float, budget: float) -> DataFrame:
+    """The choice with the highest roi_mean (to 4 places) whose wMAPE is at most ``budget`` over the base's; then by wMAPE."""
+    limit = scored.where(F.col("choice") == base).select((F.col("wmape") + budget).alias("__limit"))
+    eligible = scored.crossJoin(F.broadcast(limit)).where(F.col("wmape") <= F.col("__limit")).drop("__limit")
+    return eligible.orderBy(F.desc(F.bround("roi_mean", 4)), "wmape", "choice").limit(1)
+
+
+def pick_strategy(roi: dict[str, float], base: str, residual: str, fusion: str) -> str:
+    """Fusion only if it beats the base and is no worse than the residual; the residual if it beats the base."""
+    if roi[fusion] > roi[base] and roi[fusion] >= roi[residual]:
+        return fusion
+    return residual if roi[residual] > roi[base] else base
+
+
+def search(x: DataFrame, fold: str, folds: int, label: str, configs: dict[str, list[str]], **options) -> list[tuple[str, float]]:
+    """(name, mean absolute out-of-fold error) of each set of features, best first."""
+    out = []
+    for name, features in configs.items():
+        scored = out_of_fold(x, fold, folds, features, label, "__p", **options)
+        out.append((name, scored.agg(F.avg(F.abs(F.col(label) - F.col("__p")))).first()[0]))
+    return sorted(out, key=lambda r: (r[1], r[0]))
+
+
+def fuse(base: DataFrame, key: str, parts: list[DataFrame], train: DataFrame) -> DataFrame:
+    """Base rows with the columns of other tables by key; gaps get the medians over ``train`` keys."""
+    out = base
+    for part in parts:
+        columns = [c for c in part.columns if c != key]
+        fitted = medians(part.join(train.select(key), key, "left_semi"), columns)
+        out = impute(out.join(part, key, "left"), columns, fitted)
+    return out
+
+
 def standardised_pca(x: DataFrame, id_: str, vector: str, k: int) -> DataFrame:
     """(id, scores): centred principal component scores; the sign of a component is arbitrary."""
     from pyspark.ml.feature import PCA, StandardScaler
@@ -120,3 +162,22 @@ def truncated_svd(x: DataFrame, id_: str, vector: str, k: int) -> DataFrame:
     axes = matrix.computeSVD(k).V.toArray().T.tolist()  # k x dimensions, whatever the rows
     scores = F.array(*[dot(vector, F.array(*map(F.lit, a))) for a in axes])
     return x.select(id_, scores.alias("scores"))
+
+
+def term_svd(weights: DataFrame, id_: str, k: int) -> DataFrame:
+    """(id, scores): uncentred SVD scores of a sparse (id, term, weight) table; its vocabulary is bounded."""
+    from pyspark.mllib.linalg import Vectors
+    from pyspark.mllib.linalg.distributed import RowMatrix
+
+    places = {r["term"]: i for i, r in enumerate(weights.select("term").distinct().orderBy("term").collect())}
+    if not places:
+        return weights.select(id_, F.array().cast("array<double>").alias("scores"))
+    terms = weights.sparkSession.createDataFrame(list(places.items()), "term string, i int")
+    rows = weights.join(F.broadcast(terms), "term").groupBy(id_).agg(F.array_sort(F.collect_list(F.struct("i", "weight"))).alias("v"))
+    size = len(places)
+    matrix = RowMatrix(rows.select("v").rdd.map(lambda r: Vectors.sparse(size, [x["i"] for x in r["v"]], [x["weight"] for x in r["v"]])))
+    axes = matrix.computeSVD(min(k, size)).V.toArray().tolist()
+    table = weights.sparkSession.createDataFrame([(t, axes[i]) for t, i in places.items()], "term string, axis array<double>")
+    long = weights.join(F.broadcast(table), "term").select(id_, "weight", F.posexplode("axis").alias("j", "x"))
+    sums = long.groupBy(id_, "j").agg(F.sum(F.col("weight") * F.col("x")).alias("s"))
+    return sums.groupBy(id_).agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "s"))), lambda e: e["s"]).alias("scores"))

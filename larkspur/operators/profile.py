@@ -6,6 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def numeric_columns(x: DataFrame) -> list[str]:
+    from pyspark.sql.types import NumericType
+
+    return [f.name for f in x.schema.fields if isinstance(f.dataType, NumericType)]
+
+
 def missing_profile(x: DataFrame, columns: list[str]) -> DataFrame:
     """(column, n_missing, pct): columns with a missing value only."""
     counts = x.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in columns])

@@ -56,3 +56,30 @@ def pca_scores(spark, sf_dir):
 def svd_scores(spark, sf_dir):
     x = photos(spark, sf_dir).select(F.struct("listing_id", "image_index").alias("id"), "vector")
     return learn.truncated_svd(x, "id", "vector", 8).select("id.*", "scores")
+
+
+@query("fused_features")
+def fused_features(spark, sf_dir):
+    from larkspur.operators import images
+
+    x = predictions(spark, sf_dir).select("listing_id", "log_price", "area", "fold")
+    pictures = images.scalars(photos(spark, sf_dir).where("ok = 1")).select("listing_id", "n_images", "type_entropy", "suffix_mean")
+    return learn.fuse(x, "listing_id", [pictures], x.where("fold <> 0"))
+
+
+@query("text_bundle_svd")
+def text_bundle_svd(spark, sf_dir):
+    from larkspur.operators import texts as ops
+    from larkspur.sources.views import texts
+
+    x = texts(spark, sf_dir)
+    flags = ops.cue_scores(ops.lexical_flags(x, "description")).select("doc_id", "cheap_cues", "premium_cues", "band_score")
+    scores = learn.term_svd(ops.tfidf(x, "doc_id", "description", most=500), "doc_id", 8)
+    return flags.join(scores, "doc_id", "left")
+
+
+@query("feature_search")
+def feature_search(spark, sf_dir):
+    x = _rows(spark, sf_dir)
+    found = learn.search(x, "fold", 2, "log_price", {"size": ["area", "bedrooms"], "tax": ["tax"]}, kind="huber")
+    return spark.createDataFrame(found, "config string, mae double")

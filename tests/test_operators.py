@@ -84,8 +84,8 @@ def test_components_span_the_centred_data(spark):
 def test_game_is_the_same_for_any_partitioning(spark):
     x = spark.range(400).select("id", (100_000.0 + F.col("id") * 500).alias("value"), (110_000.0 + F.col("id") * 480).alias("pred"))
     game = {**simulate.GAME, "props_per_round": 50}
-    one = simulate.play(simulate.draws(x.repartition(1), "id", 2, game=game), [1.0, 0.8], game).orderBy("scale", "sim").collect()
-    many = simulate.play(simulate.draws(x.repartition(7), "id", 2, game=game), [1.0, 0.8], game).orderBy("scale", "sim").collect()
+    one = simulate.play(simulate.draws(x.repartition(1), "id", 2, game=game), simulate.scaled([1.0, 0.8]), game).orderBy("choice", "sim").collect()
+    many = simulate.play(simulate.draws(x.repartition(7), "id", 2, game=game), simulate.scaled([1.0, 0.8]), game).orderBy("choice", "sim").collect()
     assert [(r.buys, r.traps) for r in one] == [(r.buys, r.traps) for r in many]
     drawn = simulate.draws(x, "id", 2, game=game).groupBy("sim", "round").agg(F.count("id").alias("n"), F.count_distinct("id").alias("d")).collect()
     assert {(r.n, r.d) for r in drawn} == {(50, 50)} and len(drawn) == 8
@@ -95,7 +95,7 @@ def test_ledger_follows_the_capital(spark):
     game = {**simulate.GAME, "start_capital": 1000.0, "max_position": 1.0, "n_rounds": 1}
     rows = [(0, 0, 1.0, 1, 700.0, 1000.0, 500.0, None), (0, 0, 1.0, 2, 900.0, 1000.0, 600.0, None), (0, 0, 1.0, 3, 10.0, 1000.0, 100.0, 900.0), (0, 0, 1.0, 4, 300.0, 1000.0, 100.0, 400.0)]
     x = spark.createDataFrame(rows, "sim int, round int, s double, slot int, value double, pred double, asking double, rival double").drop("s")
-    got = simulate.play(x, [1.0], game).first()
+    got = simulate.play(x, simulate.scaled([1.0]), game).first()
     # buys 1 for 510, cannot pay 612 for 2, loses 3 to the rival, pays the rival's 400 for 4
     left = 1000 - 510 - 408
     assert (got.buys, got.traps) == (2, 1)
@@ -214,3 +214,40 @@ def test_stream_resumes(spark, tmp_path):
     x.write.mode("append").parquet(f"{tmp_path}/in")
     assert [(r.n, r.total) for r in run().collect()] == [(4, 6.0)]
     assert streaming.sessions(x, "10 minutes", "1 day").count() == 2
+
+
+def test_best_choice_stays_within_the_budget(spark):
+    rows = [(0.0, 1.0, 20.0), (1.0, 9.0, 20.5), (2.0, 2.00001, 20.2), (3.0, 2.0, 20.1)]
+    x = spark.createDataFrame(rows, "choice double, roi_mean double, wmape double")
+    assert learn.best_within(x, 0.0, 0.25).first().choice == 3.0
+    assert learn.pick_strategy({"b": 1.0, "r": 2.0, "f": 2.0}, "b", "r", "f") == "f"
+    assert learn.pick_strategy({"b": 1.0, "r": 1.0, "f": 0.5}, "b", "r", "f") == "b"
+
+
+def test_fuse_fills_gaps_with_training_medians(spark):
+    base = spark.createDataFrame([(1,), (2,), (3,)], "k long")
+    part = spark.createDataFrame([(1, 5.0), (2, 9.0)], "k long, v double")
+    got = learn.fuse(base, "k", [part], base.where("k = 1")).orderBy("k").collect()
+    assert [r.v for r in got] == [5.0, 9.0, 5.0]
+
+
+def test_sparse_svd_keeps_distances(spark):
+    import numpy as np
+
+    rows = [(i, f"t{j}", float((i * 7 + j * 3) % 5 + 1)) for i in range(8) for j in range(4) if (i + j) % 3]
+    got = {r.id: r.scores for r in learn.term_svd(spark.createDataFrame(rows, "id long, term string, weight double"), "id", 4).collect()}
+    dense = np.zeros((8, 4))
+    for i, t, w in rows:
+        dense[i, int(t[1:])] = w
+    g = np.array([got[i] for i in range(8)])
+    assert np.allclose(g @ g.T, dense @ dense.T, atol=1e-6)
+
+
+def test_final_chain(spark):
+    from larkspur.operators import calibrate
+
+    x = spark.createDataFrame([(1.0,), (2.0,)], "p double")
+    got = calibrate.finalise(x, "p", "o", calibrate.Debias("linear", 1.0, 2.0)).collect()
+    assert [r.o for r in got] == [3.0, 5.0]
+    got = calibrate.finalise(x, "p", "o", scale=0.5).first()
+    assert got.o == pytest.approx(math.log1p(0.5 * math.expm1(1.0)))
