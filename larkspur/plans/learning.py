@@ -70,9 +70,9 @@ def fused_features(spark, sf_dir):
 @query("text_bundle_svd")
 def text_bundle_svd(spark, sf_dir):
     from larkspur.operators import texts as ops
-    from larkspur.sources.views import texts
+    from larkspur.sources.views import whole_texts
 
-    x = texts(spark, sf_dir)
+    x = whole_texts(spark, sf_dir)
     flags = ops.cue_scores(ops.lexical_flags(x, "description")).select("doc_id", "cheap_cues", "premium_cues", "band_score")
     scores = learn.term_svd(ops.tfidf(x, "doc_id", "description", most=500), "doc_id", 8)
     return flags.join(scores, "doc_id", "left")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from larkspur.functions.exprs import loose_number, slug, suffix_number
 from larkspur.operators import texts as ops
 from larkspur.plans.registry import query
-from larkspur.sources.views import TEXTS_SQL, table, texts
+from larkspur.sources.views import TEXTS_SQL, WHOLE_TEXTS_SQL, table, texts, whole_texts
 
 
 def _hits(name: str) -> str:
@@ -33,6 +33,25 @@ def text_length_truncate(spark, sf_dir):
     return texts(spark, sf_dir).select("doc_id", F.length(t).cast("bigint").alias("n"), F.substring(t, 1, 40).alias("head"))
 
 
+@query("lexical_flags_whole", f"WITH {WHOLE_TEXTS_SQL} SELECT doc_id, {', '.join(f'{_hits(n)} AS {n}' for n in ops.PATTERNS)} FROM texts")
+def lexical_flags_whole(spark, sf_dir):
+    return ops.lexical_flags(whole_texts(spark, sf_dir), "description").select("doc_id", *ops.PATTERNS)
+
+
+@query(
+    "cue_score_whole",
+    f"WITH {WHOLE_TEXTS_SQL}, f AS (SELECT doc_id, {' + '.join(map(_hits, ops.CHEAP))} AS cheap_cues, {' + '.join(map(_hits, ops.PREMIUM))} AS premium_cues FROM texts) SELECT *, premium_cues - cheap_cues AS band_score FROM f",
+)
+def cue_score_whole(spark, sf_dir):
+    return ops.cue_scores(ops.lexical_flags(whole_texts(spark, sf_dir), "description")).select("doc_id", "cheap_cues", "premium_cues", "band_score")
+
+
+@query("text_length_whole", f"WITH {WHOLE_TEXTS_SQL} SELECT doc_id, length(coalesce(description, '')) AS n, substr(coalesce(description, ''), 1, 40) AS head FROM texts")
+def text_length_whole(spark, sf_dir):
+    t = F.coalesce("description", F.lit(""))
+    return whole_texts(spark, sf_dir).select("doc_id", F.length(t).cast("bigint").alias("n"), F.substring(t, 1, 40).alias("head"))
+
+
 @query(
     "suffix_parse",
     """WITH f AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'photo_' || p_partkey || '.jpg' WHEN 1 THEN 'a_b_' || p_size || '.x.png' WHEN 2 THEN 'none.jpg' ELSE p_name END AS filename FROM part)

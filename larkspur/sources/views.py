@@ -118,6 +118,17 @@ TEXTS_SQL = f"""texts AS (
   FROM documents)"""
 
 
+def whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descriptions: a phrase by id and the whole text of a document; NULL where the text is."""
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+    phrase = F.element_at(F.array(*map(F.lit, PHRASES)), (k % 10 + 1).cast("int"))
+    return d.select("doc_id", F.concat(phrase, F.lit(" "), "text").alias("description"))
+
+
+WHOLE_TEXTS_SQL = f"""texts AS (
+  SELECT doc_id, [{', '.join("'" + p.replace("'", "''") + "'" for p in PHRASES)}][doc_id % 10 + 1] || ' ' || text AS description FROM documents)"""
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A deterministic prediction per listing, in price and log."""
     k = F.col("listing_id")
