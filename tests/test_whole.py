@@ -1,5 +1,9 @@
 """Registered queries do the whole job: no prefixes, no filters by id, the reference's sizes."""
 
+from pyspark.sql import functions as F
+
+from larkspur.functions.exprs import uniform
+from larkspur.operators import learn, simulate
 from larkspur.plans import registry
 
 registry.load()
@@ -26,3 +30,26 @@ def test_bundle_reads_whole_texts(spark, tmp_path):
     sf = documents(spark, tmp_path, [(9, late), (19, late), (29, late), (39, "plain"), (49, None)])
     got = {r.doc_id: (r.cheap_cues, r.premium_cues) for r in registry.QUERIES["text_bundle_svd"](spark, sf).collect()}
     assert got == {9: (1, 1), 19: (1, 1), 29: (1, 1), 39: (0, 0), 49: (0, 0)}
+
+
+def test_draws_are_the_smallest_keys(spark):
+    x = spark.range(5000).select("id", (F.col("id") + 1000.0).alias("value"))
+    game = {**simulate.GAME, "props_per_round": 20}
+    got = {(r.sim, r["round"], r.slot): r.id for r in simulate.draws(x, "id", 2, game=game).collect()}
+    for sim in range(2):
+        for turn in range(4):
+            key = uniform(F.lit(0), F.lit(sim), F.lit(turn), F.col("id"), F.lit("draw"))
+            want = [r.id for r in x.orderBy(key, "id").limit(20).collect()]
+            assert [got[sim, turn, i + 1] for i in range(20)] == want
+    assert len(got) == 2 * 4 * 20
+
+
+def test_games_and_grid_of_the_reference(spark, sf_dir, monkeypatch):
+    found = registry.QUERIES["auction_sim"](spark, sf_dir).agg(F.count("sim"), F.count_distinct("sim")).first()
+    assert tuple(found) == (400, 400)
+    seen, draws, errors = [], simulate.draws, learn.choice_errors
+    monkeypatch.setattr(simulate, "draws", lambda x, id_, sims, **more: (seen.append(sims), draws(x, id_, sims, **more))[1])
+    monkeypatch.setattr(learn, "choice_errors", lambda x, actual, choices: (seen.append(len(choices)), errors(x, actual, choices))[1])
+    registry.QUERIES["scale_sweep"](spark, sf_dir)
+    registry.QUERIES["edge_grid_simulated"](spark, sf_dir)
+    assert seen == [400, 300, 1 + 10 * 4]
