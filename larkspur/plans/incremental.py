@@ -35,3 +35,10 @@ def prompt_json(spark, sf_dir):
     x = table(spark, sf_dir, "documents").select(F.expr("doc_id div 16").alias("batch"), "doc_id", F.regexp_replace(F.substring("text", 1, 60), "[^A-Za-z ]", "").alias("t"))
     out = incremental.encode_prompt(x, "batch", "doc_id", "t")
     return out.select("batch", F.md5("prompt").alias("prompt"))
+
+
+@query("prompt_json_whole")
+def prompt_json_whole(spark, sf_dir):
+    """Prompts of the texts as they are, up to the reference's 1400 characters.  No SQL: its JSON would be escaped by hand."""
+    x = table(spark, sf_dir, "documents").select(F.expr("doc_id div 16").alias("batch"), "doc_id", "text")
+    return incremental.encode_prompt(x, "batch", "doc_id", "text")

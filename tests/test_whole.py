@@ -1,5 +1,7 @@
 """Registered queries do the whole job: no prefixes, no filters by id, the reference's sizes."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from larkspur.functions.exprs import uniform
@@ -53,3 +55,11 @@ def test_games_and_grid_of_the_reference(spark, sf_dir, monkeypatch):
     registry.QUERIES["scale_sweep"](spark, sf_dir)
     registry.QUERIES["edge_grid_simulated"](spark, sf_dir)
     assert seen == [400, 300, 1 + 10 * 4]
+
+
+def test_prompts_hold_the_text_as_it_is(spark, tmp_path):
+    rows = [(1, 'é "quoted"\n\ttab \\ 42 € \U0001f600 ' + "long " * 400), (2, None), (3, "x" * 1399 + "yz"), (17, "")]
+    got = {r.batch: r.prompt for r in registry.QUERIES["prompt_json_whole"](spark, documents(spark, tmp_path, rows)).collect()}
+    items = [{"zpid": k, "description": (t or "")[:1400]} for k, t in rows]
+    dump = lambda x: json.dumps({"items": x}, ensure_ascii=False, separators=(",", ":"))
+    assert got == {0: dump(items[:3]), 1: dump(items[3:])}
