@@ -46,16 +46,21 @@ def seed_ensemble(spark, sf_dir):
     return learn.ensemble_mean(runs, "o_orderkey", "pred").select("o_orderkey", F.round("pred", 4).alias("pred"))
 
 
+def _components(x, most):
+    """The reference's number of components, or as many as the vectors have columns."""
+    return min(most, x.agg(F.max(F.size("vector"))).first()[0])
+
+
 @query("pca_scores")
 def pca_scores(spark, sf_dir):
     x = photos(spark, sf_dir).select("listing_id", "image_index", "vector").withColumn("id", F.struct("listing_id", "image_index"))
-    return learn.standardised_pca(x, "id", "vector", 8).select("id.*", "scores")
+    return learn.standardised_pca(x, "id", "vector", _components(x, 128)).select("id.*", "scores")
 
 
 @query("svd_scores")
 def svd_scores(spark, sf_dir):
     x = photos(spark, sf_dir).select(F.struct("listing_id", "image_index").alias("id"), "vector")
-    return learn.truncated_svd(x, "id", "vector", 8).select("id.*", "scores")
+    return learn.truncated_svd(x, "id", "vector", _components(x, 256)).select("id.*", "scores")
 
 
 @query("fused_features")

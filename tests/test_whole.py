@@ -63,3 +63,8 @@ def test_prompts_hold_the_text_as_it_is(spark, tmp_path):
     items = [{"zpid": k, "description": (t or "")[:1400]} for k, t in rows]
     dump = lambda x: json.dumps({"items": x}, ensure_ascii=False, separators=(",", ":"))
     assert got == {0: dump(items[:3]), 1: dump(items[3:])}
+
+
+def test_components_of_the_reference(spark, sf_dir):
+    for name in ("pca_scores", "svd_scores"):  # 128 and 256, but the vectors have 64 columns
+        assert [r[0] for r in registry.QUERIES[name](spark, sf_dir).select(F.size("scores")).distinct().collect()] == [64]
