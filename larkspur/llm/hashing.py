@@ -22,17 +22,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
-def word_units(data: bytes) -> np.ndarray:
-    """A hash per word: ``bytes.split`` parts at space and the controls 9 to 13 only."""
-    words = data.split()
+def hash_words(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), _U, len(words))
 
 
-_BYTES = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
+def word_units(data: bytes) -> np.ndarray:
+    """A hash per word: ``bytes.split`` parts at space and the controls 9 to 13 only."""
+    return hash_words(data.split())
 
 
-def byte_numbers(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint8)
+_BYTES = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
 
 
 def byte_units(numbers: np.ndarray) -> np.ndarray:

@@ -1,9 +1,12 @@
 """Substring deduplication by level-wise doubling of repeated word windows.
 
-Level one looks at windows of half the width (25 words for 50): the anchors of
-:mod:`larkspur.llm.repeats`, of which every full window holds one.  Only those that occur in
-more than one document are extended to twice that length, first a whole run of windows at a
-time, then, where runs differ, window by window.  No candidate is left after that.
+Levels are window lengths, each twice the one before (7, 13, 25 and 50 words for a width of 50; odd
+halves are rounded up, and the two halves then share a word).  The first level looks at the windows of its
+length in all documents.  At each further level a start stays a candidate only if both halves of
+its longer window repeated at the level before; only these are named and counted again.  At the
+last level a window is found if a document with a smaller id holds it.
+
+Names of windows are exchanged in buckets by :mod:`larkspur.llm.windows`.
 
 Defined results: a null text has no words; texts shorter than a window keep all words; of
 documents with one id none counts as earlier than another, and a null id counts as the largest;
@@ -13,21 +16,42 @@ a table without rows gives none; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from larkspur.llm import repeats
-from larkspur.llm.hashing import word_units
+from larkspur.llm import windows
+from larkspur.llm.hashing import Polynomial
+
+SHORTEST = 8  # windows of the first level have fewer words
+
+
+def levels(width: int) -> list[int]:
+    """Window lengths in ascending order, the last one ``width``."""
+    out = [width]
+    while out[0] >= SHORTEST:
+        out.insert(0, (out[0] + 1) // 2)
+    return out
+
+
+class Doubling(windows.Method):
+    unit, by_id = windows.Words, True
 
-def _same(units: np.ndarray) -> np.ndarray:
-    return units
+    def __init__(self, width: int):
+        self.width, self.lengths = width, levels(width)
+        self.passes = len(self.lengths)
 
+    def candidates(self, p: int, found: np.ndarray | None, starts: Callable[[int], np.ndarray]) -> np.ndarray:
+        fits = starts(self.lengths[p])
+        if found is None:
+            return fits
+        shift = self.lengths[p] - self.lengths[p - 1]  # where the second half begins
+        second = np.append(found, np.zeros(shift, bool))[shift:]
+        return found & second & fits
 
-SCHEMA = "doc_id long, n_words long, n_removed long, kept string"
+    def names(self, p: int, units: np.ndarray, at: np.ndarray, poly: Polynomial) -> np.ndarray:
+        return windows.stretches(units, at, (0, self.lengths[p]), poly)
 
 
 def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
@@ -36,23 +60,6 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
     A word goes when a window of ``width`` words that covers it also starts in a document with a
     smaller id.  With ``digest`` the last column is kept_sha256 instead.
     """
-    texts = repeats.keyed(docs, id_col, text_col)
-    marked = repeats.with_marks(texts, word_units, _same, width, max(1, width // 2), repeats.EARLIER, "substring")
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for id_, data, marks in zip(pdf["id"], pdf["data"], pdf["marks"]):
-                words = data.split()
-                gone = 0
-                kept = words
-                if marks is not None and len(marks):
-                    mask = repeats.covered(marks, len(words), width)
-                    gone = int(mask.sum())
-                    kept = [w for w, m in zip(words, mask) if not m]
-                text = b" ".join(kept)
-                out.append((id_, len(words), gone, hashlib.sha256(text).hexdigest() if digest else text.decode()))
-            yield pd.DataFrame(out, columns=["id", "n_words", "n_removed", "kept"])
-
-    out = marked.mapInPandas(cut, SCHEMA.replace("doc_id", "id"))
-    return out.select(F.nullif(F.col("id"), F.lit(repeats.NO_ID)).alias("doc_id"), "n_words", "n_removed", F.col("kept").alias("kept_sha256" if digest else "kept"))
+    show = (lambda text: hashlib.sha256(text).hexdigest()) if digest else bytes.decode
+    out = windows.remove(docs, id_col, text_col, Doubling(width), "substring", show, "string")
+    return out.selectExpr("id AS doc_id", "n AS n_words", "n_gone AS n_removed", "kept AS kept_sha256" if digest else "kept")

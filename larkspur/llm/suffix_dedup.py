@@ -1,10 +1,15 @@
 """Suffix-array deduplication, as a radix sort of suffixes that stops at the threshold.
 
 Suffixes need an order only through their first ``width`` bytes (400): those that are equal so
-far are the repeated windows.  Passes go from the most significant digit on, and a digit here is
-the fingerprint of a stretch of bytes: first the anchor gram of :mod:`larkspur.llm.repeats` with
-its place in the window, then the bytes around it for a whole run of suffixes at once, then, only
-where these differ, all ``width`` bytes.  A group of one leaves the sort at each pass.
+far are the repeated windows.  The sort goes from the most significant digit on.  Digits are the
+``DIGITS`` successive stretches of these bytes, and a pass orders (group, suffix) rows: by the group that
+the digits before have left the suffix in, and by the fingerprint of the next digit.  The rows are dealt
+into buckets by the leading bits of that key and sorted by the others inside each bucket, so equal
+keys stand together and are the groups of the next pass.  A group of one leaves the sort at each pass;
+the groups left after the last one are exactly the repeated windows.
+
+The order is that of the digits' fingerprints, not of the alphabet, which no result depends on.
+Keys are exchanged in buckets by :mod:`larkspur.llm.windows`.
 
 Defined results: a null text has no bytes; texts shorter than the width keep all bytes; rows
 with one id are separate documents; a null id stays null; a table without rows gives none; other
@@ -14,15 +19,30 @@ columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from larkspur.llm import repeats
-from larkspur.llm.hashing import byte_numbers, byte_units
+from larkspur.llm import windows
+from larkspur.llm.hashing import Polynomial
+
+DIGITS = 4
+
+
+class Radix(windows.Method):
+    unit = windows.Bytes
+
+    def __init__(self, width: int):
+        self.width, self.passes = width, min(DIGITS, width)
+        self.cuts = tuple(width * i // self.passes for i in range(self.passes + 1))
+
+    def candidates(self, p: int, found: np.ndarray | None, starts: Callable[[int], np.ndarray]) -> np.ndarray:
+        return starts(self.width) if found is None else found
+
+    def names(self, p: int, units: np.ndarray, at: np.ndarray, poly: Polynomial) -> np.ndarray:
+        """The group after the digits before, and the digit of pass ``p``."""
+        return windows.stretches(units, at, self.cuts[: p + 2], poly)
 
 
 def remove_repeats(docs: DataFrame, width: int = 400, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
@@ -31,25 +51,6 @@ def remove_repeats(docs: DataFrame, width: int = 400, id_col: str = "doc_id", te
     A byte goes when a string of ``width`` bytes that covers it starts anywhere else too.  With
     ``digest`` the last column is kept_sha256 instead.
     """
-    texts = repeats.keyed(docs, id_col, text_col)
-    marked = repeats.with_marks(texts, byte_numbers, byte_units, width, max(1, width // 4), repeats.ANY, "suffix")
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for id_, data, marks in zip(pdf["id"], pdf["data"], pdf["marks"]):
-                gone = runs = 0
-                kept = data
-                if marks is not None and len(marks):
-                    mask = repeats.covered(marks, len(data), width)
-                    gone = int(mask.sum())
-                    runs = int(mask[0]) + int((mask[1:] & ~mask[:-1]).sum())
-                    kept = np.frombuffer(data, np.uint8)[~mask].tobytes()
-                out.append((id_, len(data), gone, runs, hashlib.sha256(kept).hexdigest() if digest else bytes(kept)))
-            yield pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    kind = "string" if digest else "binary"
-    out = marked.mapInPandas(cut, f"id long, n_bytes long, n_removed long, n_spans long, kept {kind}")
-    return out.select(
-        F.nullif(F.col("id"), F.lit(repeats.NO_ID)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256" if digest else "kept")
-    )
+    show = (lambda data: hashlib.sha256(data).hexdigest()) if digest else bytes
+    out = windows.remove(docs, id_col, text_col, Radix(width), "suffix", show, "string" if digest else "binary")
+    return out.selectExpr("id AS doc_id", "n AS n_bytes", "n_gone AS n_removed", "spans AS n_spans", "kept AS kept_sha256" if digest else "kept")

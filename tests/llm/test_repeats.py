@@ -1,11 +1,14 @@
 """Repeated windows of words and bytes against a listing of all windows."""
 
+import hashlib
+
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from larkspur.llm import repeats, substring_dedup, suffix_dedup
-from larkspur.llm.hashing import byte_numbers, byte_units, word_units
+from larkspur.llm import substring_dedup, suffix_dedup, windows
+from larkspur.llm.hashing import FIRST, byte_units, word_units
 from tests.llm import fixtures as X
 
 
@@ -49,25 +52,79 @@ def test_repeated_rows_and_empty(spark):
     assert suffix_dedup.remove_repeats(X.empty(spark)).count() == 0
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.binary(max_size=80), st.integers(1, 12), st.integers(1, 12))
-def test_blocks_cover_every_window_once(data, a, b):
-    width, gram = max(a, b), min(a, b)
-    units = byte_units(byte_numbers(bytes(x % 3 for x in data)))
-    seen = [s for _, _, lo, n, _ in repeats.blocks(units, width, gram) for x, k in zip(lo, n) for s in range(x, x + k)]
-    assert seen == list(range(max(0, len(units) - width + 1)))
-
-
-def test_segments_do_not_change_the_result(spark):
-    want = X.repeated_windows(PAIRS, 12)
-    texts = repeats.keyed(X.documents(spark), "doc_id", "text")
-    parts = [len(list(repeats.blocks(word_units((t or "").encode()), 12, 6, 32))) for _, t in PAIRS]
-    assert max(parts) > 10
-    got = repeats.with_marks(texts, word_units, substring_dedup._same, 12, 6, repeats.EARLIER, "test", 32)
-    for r in got.collect():
-        n = len(X.WORD.findall(bytes(r.data).decode()))
-        mask = repeats.covered(r.marks, n, 12) if r.marks else []
-        assert (n, int(sum(mask))) == want[r.id][:2]
+def parts_of(n, step, width):
+    """Sizes and own units of the pieces that a text of n units is cut into."""
+    out = []
+    for a in range(0, max(1, n), step):
+        last = n - a < step + width
+        out.append((n - a, n - a) if last else (step + width - 1, step))
+        if last:
+            return out
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 60), min_size=1, max_size=5), st.integers(1, 12), st.integers(1, 12), st.integers(0, 9))
+def test_starts_cover_every_window_once(lengths, a, b, more):
+    width, length = max(a, b), min(a, b)
+    seen, want = [], []
+    for n in lengths:
+        at = 0
+        for size, own in parts_of(n, width + more, width):
+            mask = windows.starts_in(np.array([size]), np.array([own]), width, width)
+            seen.append([at + int(s) for s in np.flatnonzero(mask)])
+            short = windows.starts_in(np.array([size]), np.array([own]), width, length)
+            assert set(np.flatnonzero(short)) == {s + d for s in np.flatnonzero(mask) for d in range(width - length + 1)}
+            at += own
+        want.append(list(range(max(0, n - width + 1))))
+        assert sum(seen, []) == want.pop()
+        seen = []
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.binary(max_size=90), st.integers(1, 20), st.integers(1, 4))
+def test_names_tell_windows_apart(data, width, digits):
+    data = bytes(x % 3 for x in data)
+    method = suffix_dedup.Radix(width)
+    units, at = byte_units(np.frombuffer(data, np.uint8)), np.arange(max(0, len(data) - width + 1))
+    names = method.names(method.passes - 1, units, at, FIRST).tolist()
+    strings = [data[i : i + width] for i in at]
+    assert len(set(zip(names, strings))) == len(set(names)) == len(set(strings))
+    some = at[::2]  # the same names one by one
+    assert method.names(method.passes - 1, units, some, FIRST).tolist() == names[::2]
+
+
+@given(st.lists(st.integers(0, (1 << 64) - 1), min_size=1, max_size=50))
+def test_packed_names_come_back(values):
+    for kind, bits in ((np.uint64, 64), (np.uint32, 32)):
+        some = np.unique(np.array([v >> (64 - bits) for v in values], kind))
+        assert windows.unpack_sorted(windows.pack_sorted(some), kind).tolist() == some.tolist()
+
+
+def test_levels_double():
+    assert substring_dedup.levels(50) == [7, 13, 25, 50] and substring_dedup.levels(6) == [6] and substring_dedup.levels(1) == [1]
+    assert suffix_dedup.Radix(400).cuts == (0, 100, 200, 300, 400)
+
+
+@pytest.mark.parametrize("size", [40, 300])
+def test_pieces_of_long_texts_do_not_change_the_result(spark, size):
+    words, octets = substring_dedup.Doubling(12), suffix_dedup.Radix(30)
+    words.chunk = octets.chunk = size
+    got = windows.remove(X.documents(spark), "doc_id", "text", words, "test", bytes.decode, "string")
+    assert {r.id: (r.n, r.n_gone, X.sha(r.kept)) for r in got.collect()} == X.repeated_windows(PAIRS, 12)
+    got = windows.remove(X.documents(spark), "doc_id", "text", octets, "test", bytes, "binary")
+    assert {r.id: (r.n, r.n_gone, r.spans, hashlib.sha256(r.kept).hexdigest()) for r in got.collect()} == X.repeated_bytes(PAIRS, 30)
+
+
+def test_very_long_text(spark):
+    import random
+
+    rng = random.Random(5)
+    base = " ".join(f"{rng.randrange(10**9)}" for _ in range(1_000_000))  # 10 MB: more than a chunk
+    docs = spark.createDataFrame([(1, base[2_000_000:2_004_000]), (2, base), (3, base[-5000:] + " end")], "doc_id long, text string")
+    words = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(docs, digest=True).collect()}
+    assert words[1] == 0 and 350 < words[2] < 410 and 480 < words[3] < 510
+    octets = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(docs, digest=True).collect()}
+    assert octets == {1: (4000, 1), 2: (9000, 2), 3: (5000, 1)}
 
 
 def test_passages_twice_in_one_document_and_cut_at_odd_places(spark):
