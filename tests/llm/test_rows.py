@@ -3,6 +3,8 @@
 import zlib
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from larkspur.llm import exact_dedup, packing, pii, quality_classifier, quality_rules, textstats
@@ -86,7 +88,7 @@ def test_index_join_does_not_shuffle_the_index(spark, tmp_path):
 def _pieces(spark, docs, window):
     import public_tokenizers as P
 
-    return packing.pack(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, window).collect()
+    return packing.pack(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, window, added=packing.added_tokens(P.path("byte_bpe_50k.json"))).collect()
 
 
 @pytest.mark.parametrize("window", [16, 1024])
@@ -96,14 +98,16 @@ def test_packing(spark, window):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    plain.encode_special_tokens = True
-    got = _pieces(spark, X.documents(spark).repartition(2), window)
+    special = ["a <|endoftext|>b", "<|endoftext|>", "<|endoftext|><|endoftext|> <|endoftext|", "x <|endoftext|> it's  y\n<|endoftext|>\n"]
+    more = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(special)], "doc_id long, text string")
+    rows = [(r[0], r[1]) for r in X.rows()] + [(1000 + i, t) for i, t in enumerate(special)]
+    got = _pieces(spark, X.documents(spark).select("doc_id", "text").unionByName(more).repartition(2), window)
     by_doc, by_seq = {}, {}
     for r in got:
         by_doc.setdefault(r.doc_id, []).append(r)
         by_seq.setdefault(r.sequence_id, []).append(r)
-    assert set(by_doc) == {r[0] for r in X.rows()}
-    for doc_id, text, *_ in X.rows():
+    assert set(by_doc) == {r[0] for r in rows}
+    for doc_id, text in rows:
         ids = plain.encode(text or "", add_special_tokens=False).ids + [0]
         at = 0
         for r in sorted(by_doc[doc_id], key=lambda r: r.start):
@@ -122,6 +126,53 @@ def test_packing(spark, window):
     assert all(len({n for _, n in g}) == 1 and len(g) <= packing.GROUP for g in groups.values())
 
 
+@given(st.lists(st.integers(1, 70), max_size=60), st.integers(1, 5), st.booleans())
+@settings(max_examples=150, deadline=None)
+def test_tiers_fill_windows_of_their_own_size(lengths, count, last):
+    pool = packing.Tiers(64, count)
+    lengths = [min(n, 64) for n in lengths]
+    for i, n in enumerate(lengths):
+        pool.add((i, 0, n))
+    done = list(pool.windows(last))
+    seen = {}
+    for w in done:
+        total = sum(p[2] for p in w)
+        assert total & (total - 1) == 0 and total <= 64
+        for doc, start, n in w:
+            seen.setdefault(doc, []).append((start, n))
+    if not last:  # full windows have the size of a tier, and are opened by a piece of that tier
+        for w in done:
+            total = sum(p[2] for p in w)
+            assert total in pool.sizes and (total == pool.sizes[-1] or 2 * w[0][2] > total)
+    waiting = {}
+    for pieces in pool.by_length:
+        for doc, start, n in pieces:
+            waiting.setdefault(doc, []).append((start, n))
+    assert not (last and waiting)
+    for i, n in enumerate(lengths):  # every token is in one place
+        at = 0
+        for start, size in sorted(seen.get(i, []) + waiting.get(i, [])):
+            assert start == at
+            at += size
+        assert at == n
+
+
+def test_packing_cuts_few_documents(spark, sf_dir):
+    import public_tokenizers as P
+
+    docs = spark.read.parquet(f"{sf_dir}/../sf0.01/documents.parquet")
+    pieces = packing.pack(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    r = packing.report(pieces).first()
+    assert r.n_docs == docs.count() and r.padding == 0 and r.n_tokens == pieces.agg(F.sum("length")).first()[0]
+    assert r.n_cut < 0.2 * r.n_docs
+
+
+def test_repeated_rows_are_packed_twice(spark):
+    docs = spark.createDataFrame([(1, "same text"), (1, "same text"), (None, "same text")], "doc_id long, text string").coalesce(1)
+    got = _pieces(spark, docs, 16)
+    assert sorted((r.doc_id or 0, r.length) for r in got) == [(0, 3), (1, 3), (1, 3)] or sum(r.length for r in got) == 9
+
+
 def test_classifier_on_held_out_labels(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/../sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = quality_classifier.classify(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
