@@ -1,7 +1,8 @@
 """Nearest neighbours on the globe by growing rings of grid cells.
 
 A query row meets the reference rows of the cells around it by an equi-join.  Its k nearest are
-final when the k-th is nearer than anything outside the ring can be; other rows try a larger ring.
+final when the k-th is nearer than anything outside the ring can be; other rows try a larger ring,
+and those that the largest does not settle meet all reference rows in blocks of bounded size.
 Ties are broken by the reference id.
 """
 
@@ -13,8 +14,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.exprs import EARTH_KM, haversine_km
+from larkspur.operators.prefix import running_total
+from larkspur.sources.scans import stored
 
 KM_PER_DEGREE = math.pi * EARTH_KM / 180
+BLOCK = 2000  # query rows that are broadcast at once
 
 
 def _cells(x: DataFrame, size: float) -> DataFrame:
@@ -39,28 +43,19 @@ def nearest(query: DataFrame, reference: DataFrame, k: int, exclude_self: bool,
     size = cell_degrees or max(1e-4, math.sqrt(high * wide * (k + 1) / known["n"]))
     fill = lambda x: x.withColumns({c: F.coalesce(F.col(c), F.lit(known[c])) for c in ("lat", "lon")})
     ref = _cells(fill(reference), size).select(F.col("id").alias("rid"), F.col("lat").alias("rlat"), F.col("lon").alias("rlon"), "y", "cx", "cy")
-    left, done, ring = _cells(fill(query.select("id", "lat", "lon")), size), [], 1
-    order = Window.partitionBy("id").orderBy("km", "rid")
+    left, done, ring = stored(_cells(fill(query.select("id", "lat", "lon")), size), "knn-left"), [], 1
     while True:
-        whole = ring * size > 2 * max(high, wide) + size * 2
-        if whole:
-            near = left.drop("cx", "cy").crossJoin(ref.drop("cx", "cy"))
-        else:
-            step = F.explode(F.sequence(F.lit(-ring), F.lit(ring)))
-            around = left.withColumn("dx", step).withColumn("dy", step).withColumns({"cx": F.col("cx") + F.col("dx"), "cy": F.col("cy") + F.col("dy")})
-            near = around.join(ref, ["cx", "cy"])
-        if exclude_self:
-            near = near.where(F.col("id") != F.col("rid"))
-        near = near.withColumn("km", F.round(haversine_km("lat", "lon", "rlat", "rlon"), 9))
-        best = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+        if ring * size > 2 * max(high, wide) + size * 2:
+            done += _by_blocks(left, ref, k, exclude_self)
+            break
+        step = F.explode(F.sequence(F.lit(-ring), F.lit(ring)))
+        around = left.withColumn("dx", step).withColumn("dy", step).withColumns({"cx": F.col("cx") + F.col("dx"), "cy": F.col("cy") + F.col("dy")})
+        best = stored(_best(around.join(ref, ["cx", "cy"]), k, exclude_self), "knn-near")
         # Nothing outside the ring is nearer than its width, which is least along a parallel.
         reach = F.lit(ring * size * KM_PER_DEGREE) * F.cos(F.radians(F.least(F.abs(F.col("lat")) + (ring + 1) * size, F.lit(89.9))))
-        if whole:
-            done.append(best.select("id", "rid", "y", "km"))
-            break
         settled = best.where((F.col("place") == k) & (F.col("km") < reach)).select("id")
         done.append(best.join(settled, "id", "left_semi").select("id", "rid", "y", "km"))
-        left = left.join(settled, "id", "left_anti")
+        left = stored(left.join(settled, "id", "left_anti"), "knn-left")
         if left.isEmpty():
             break
         ring *= 4
@@ -70,6 +65,26 @@ def nearest(query: DataFrame, reference: DataFrame, k: int, exclude_self: bool,
     return out
 
 
+def _best(near: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    """The k nearest of the joined rows; Spark keeps k per query row and task before the shuffle."""
+    if exclude_self:
+        near = near.where(F.col("id") != F.col("rid"))
+    near = near.withColumn("km", F.round(haversine_km("lat", "lon", "rlat", "rlon"), 9))
+    return near.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("km", "rid"))).where(F.col("place") <= k)
+
+
+def _by_blocks(left: DataFrame, ref: DataFrame, k: int, exclude_self: bool) -> list[DataFrame]:
+    """Query rows that no ring settled (fewer than k rows in reach) against all reference rows, BLOCK at a time."""
+    placed = running_total(left.drop("cx", "cy"), "id", 1, "__n").withColumn("__block", F.expr(f"__n div {BLOCK}"))
+    placed = stored(placed.drop("__n"), "knn-blocks")
+    count = placed.agg(F.max("__block")).first()[0]
+    out = []
+    for i in range(0 if count is None else count + 1):
+        block = F.broadcast(placed.where(F.col("__block") == i).drop("__block"))  # BLOCK rows at most
+        out.append(_best(ref.drop("cx", "cy").join(block), k, exclude_self).select("id", "rid", "y", "km"))
+    return out
+
+
 def mean_target(query: DataFrame, reference: DataFrame, k: int = 20, exclude_self: bool = False, **options) -> DataFrame:
     """(id, knn): mean y of the k nearest; the mean of all where a row has no neighbour, 0 without reference."""
     near = nearest(query, reference, k, exclude_self, **options).groupBy("id").agg(F.avg("y").alias("m"))

@@ -29,16 +29,14 @@ def resumable_batches(spark, sf_dir):
 
 @query(
     "prompt_json",
-    """SELECT doc_id // 16 AS batch, md5('{"items":[' || string_agg('{"zpid":' || doc_id || ',"description":"' || regexp_replace(substr(text, 1, 60), '[^A-Za-z ]', '', 'g') || '"}', ',' ORDER BY doc_id) || ']}') AS prompt FROM documents GROUP BY 1""",
+    """SELECT doc_id // 16 AS batch, md5('{"items":' || to_json(list({'zpid': doc_id, 'description': substr(coalesce(text, ''), 1, 1400)} ORDER BY doc_id)) || '}') AS prompt
+       FROM documents GROUP BY 1""",
 )
 def prompt_json(spark, sf_dir):
-    x = table(spark, sf_dir, "documents").select(F.expr("doc_id div 16").alias("batch"), "doc_id", F.regexp_replace(F.substring("text", 1, 60), "[^A-Za-z ]", "").alias("t"))
-    out = incremental.encode_prompt(x, "batch", "doc_id", "t")
-    return out.select("batch", F.md5("prompt").alias("prompt"))
+    """Prompts of the texts as they are, up to the reference's 1400 characters; digests stand for them."""
+    return prompts(spark, sf_dir).select("batch", F.md5("prompt").alias("prompt"))
 
 
-@query("prompt_json_whole")
-def prompt_json_whole(spark, sf_dir):
-    """Prompts of the texts as they are, up to the reference's 1400 characters.  No SQL: its JSON would be escaped by hand."""
+def prompts(spark, sf_dir):
     x = table(spark, sf_dir, "documents").select(F.expr("doc_id div 16").alias("batch"), "doc_id", "text")
     return incremental.encode_prompt(x, "batch", "doc_id", "text")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from larkspur.operators import calibrate, learn
 from larkspur.plans.registry import query
-from larkspur.sources.views import photos, predictions, table
+from larkspur.sources.views import photos, predictions, table, texts
 
 INPUTS = ["area", "bedrooms", "bathrooms", "tax", "listing_price", "photos", "age"]
 FOLDS = 3
@@ -75,9 +75,8 @@ def fused_features(spark, sf_dir):
 @query("text_bundle_svd")
 def text_bundle_svd(spark, sf_dir):
     from larkspur.operators import texts as ops
-    from larkspur.sources.views import whole_texts
 
-    x = whole_texts(spark, sf_dir)
+    x = texts(spark, sf_dir)
     flags = ops.cue_scores(ops.lexical_flags(x, "description")).select("doc_id", "cheap_cues", "premium_cues", "band_score")
     scores = learn.term_svd(ops.tfidf(x, "doc_id", "description", most=500), "doc_id", 8)
     return flags.join(scores, "doc_id", "left")

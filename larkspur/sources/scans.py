@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,14 +12,26 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share."""
+    """A new path in the folder that driver and executors share, named in ``spark.checkpoint.dir``.
+
+    A local session without the setting gets a temporary folder; a cluster without it raises.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="larkspur-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def stored(x: DataFrame, label: str) -> DataFrame:
+    """``x`` written to the shared folder and read again: later plans neither compute it again nor see it change."""
+    path = scratch(x.sparkSession, label)
+    x.write.option("compression", "zstd").parquet(path)
+    return x.sparkSession.read.schema(x.schema).parquet(path)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, in any filesystem that Spark reaches."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -87,8 +100,6 @@ def keep_best(spark: SparkSession, record: dict, path: str, metric: str) -> bool
 
 def cache_path(folder: str, split: str, model: str, tag: str = "") -> str:
     """Folder of cached replies, named after split, model and tag."""
-    import re
-
     plain = lambda s: re.sub("^_+|_+$", "", re.sub("[^A-Za-z0-9]+", "_", s)).lower()
     return "/".join([folder, "_".join(filter(None, map(plain, (split, model, tag))))])
 
@@ -96,19 +107,19 @@ def cache_path(folder: str, split: str, model: str, tag: str = "") -> str:
 def read_images(spark: SparkSession, folder: str, side: int = 224) -> DataFrame:
     """(path, ok, pixels): RGB images resized to ``side``; black with ok = 0 if undecodable.
 
-    Decoding needs Pillow, which is imported where it runs.
+    Decoding needs Pillow on the executors; where it is missing the job fails.
     """
     @F.pandas_udf("struct<ok:int,pixels:binary>")
     def decode(data: pd.Series) -> pd.DataFrame:
         import io
 
+        from PIL import Image
+
         out = []
         for raw in data:
             try:
-                from PIL import Image
-
                 out.append((1, Image.open(io.BytesIO(raw)).convert("RGB").resize((side, side)).tobytes()))
-            except Exception:  # an unreadable picture or no decoder: a defined black image
+            except (OSError, ValueError, SyntaxError, Image.DecompressionBombError):  # what Pillow raises for pictures it cannot read
                 out.append((0, bytes(side * side * 3)))
         return pd.DataFrame(out, columns=["ok", "pixels"])
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.exprs import uniform
 from larkspur.operators import learn, simulate
-from larkspur.plans import registry
+from larkspur.plans import incremental, registry
 
 registry.load()
 
@@ -19,11 +19,11 @@ def documents(spark, tmp_path, rows):
 def test_texts_are_whole(spark, tmp_path):
     late = "x " * 500 + "fixer-upper on the waterfront"
     sf = documents(spark, tmp_path, [(41, late), (9, late), (19, None)])  # phrase 9 has no cue
-    flags = {r.doc_id: r for r in registry.QUERIES["lexical_flags_whole"](spark, sf).collect()}
+    flags = {r.doc_id: r for r in registry.QUERIES["lexical_flags"](spark, sf).collect()}
     assert all(flags[k].desc_fixer_tlc and flags[k].desc_waterfront_estate for k in (41, 9)) and not any(flags[19][1:])
-    length = {r.doc_id: r.n for r in registry.QUERIES["text_length_whole"](spark, sf).collect()}
+    length = {r.doc_id: r.n for r in registry.QUERIES["text_length_truncate"](spark, sf).collect()}
     assert length == {41: 1075, 9: 1043, 19: 0}
-    cues = {r.doc_id: (r.cheap_cues, r.premium_cues) for r in registry.QUERIES["cue_score_whole"](spark, sf).collect()}
+    cues = {r.doc_id: (r.cheap_cues, r.premium_cues) for r in registry.QUERIES["cue_score"](spark, sf).collect()}
     assert cues[9] == (1, 1) and cues[19] == (0, 0)
 
 
@@ -59,7 +59,7 @@ def test_games_and_grid_of_the_reference(spark, sf_dir, monkeypatch):
 
 def test_prompts_hold_the_text_as_it_is(spark, tmp_path):
     rows = [(1, 'é "quoted"\n\ttab \\ 42 € \U0001f600 ' + "long " * 400), (2, None), (3, "x" * 1399 + "yz"), (17, "")]
-    got = {r.batch: r.prompt for r in registry.QUERIES["prompt_json_whole"](spark, documents(spark, tmp_path, rows)).collect()}
+    got = {r.batch: r.prompt for r in incremental.prompts(spark, documents(spark, tmp_path, rows)).collect()}
     items = [{"zpid": k, "description": (t or "")[:1400]} for k, t in rows]
     dump = lambda x: json.dumps({"items": x}, ensure_ascii=False, separators=(",", ":"))
     assert got == {0: dump(items[:3]), 1: dump(items[3:])}
