@@ -42,7 +42,7 @@ class Doubling(windows.Method):
         self.width, self.lengths = width, levels(width)
         self.passes = len(self.lengths)
 
-    def candidates(self, p: int, found: np.ndarray | None, starts: Callable[[int], np.ndarray]) -> np.ndarray:
+    def candidates(self, p: int, alive: np.ndarray | None, found: np.ndarray | None, starts: Callable[[int], np.ndarray], units: Callable[[], np.ndarray]) -> np.ndarray:
         fits = starts(self.lengths[p])
         if found is None:
             return fits

@@ -8,6 +8,11 @@ into buckets by the leading bits of that key and sorted by the others inside eac
 keys stand together and are the groups of the next pass.  A group of one leaves the sort at each pass;
 the groups left after the last one are exactly the repeated windows.
 
+Most suffixes are alone in the first digit already, so a thinning pass goes ahead: a quarter of the
+width is fingerprinted at every place, and only the places whose fingerprint ends in ``THIN`` zero
+bits are sorted.  One that is alone there cannot lie in a repeated window, and no window around it
+enters the sort.  All others do.
+
 The order is that of the digits' fingerprints, not of the alphabet, which no result depends on.
 Keys are exchanged in buckets by :mod:`larkspur.llm.windows`.
 
@@ -25,24 +30,41 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from larkspur.llm import windows
-from larkspur.llm.hashing import Polynomial
+from larkspur.llm.hashing import FIRST, Polynomial
 
-DIGITS = 4
+DIGITS = 2
+THIN = 3
 
 
 class Radix(windows.Method):
     unit = windows.Bytes
 
     def __init__(self, width: int):
-        self.width, self.passes = width, min(DIGITS, width)
-        self.cuts = tuple(width * i // self.passes for i in range(self.passes + 1))
-
-    def candidates(self, p: int, found: np.ndarray | None, starts: Callable[[int], np.ndarray]) -> np.ndarray:
-        return starts(self.width) if found is None else found
+        digits = min(DIGITS, width)
+        self.width, self.passes = width, 1 + digits
+        self.stretch = max(1, width // 4)  # of the thinning pass
+        self.cuts = tuple(width * i // digits for i in range(digits + 1))
+
+    def candidates(self, p: int, alive: np.ndarray | None, found: np.ndarray | None, starts: Callable[[int], np.ndarray], units: Callable[[], np.ndarray]) -> np.ndarray:
+        if p == 0:
+            places = np.flatnonzero(starts(self.stretch))
+            ends = self.names(0, units(), places, FIRST) & np.uint64((1 << THIN) - 1)
+            mask = starts(self.stretch)
+            mask[places[ends != 0]] = False
+            return mask
+        if p > 1:
+            return found
+        # A place that is alone rules out the windows that begin up to width - stretch before it.
+        alone = np.flatnonzero(alive & ~found)
+        reach = self.width - self.stretch
+        edge = np.zeros(len(alive) + 1, np.int32)
+        np.add.at(edge, np.maximum(alone - reach, 0), 1)
+        edge[alone + 1] -= 1
+        return starts(self.width) & (np.cumsum(edge[:-1]) == 0)
 
     def names(self, p: int, units: np.ndarray, at: np.ndarray, poly: Polynomial) -> np.ndarray:
-        """The group after the digits before, and the digit of pass ``p``."""
-        return windows.stretches(units, at, self.cuts[: p + 2], poly)
+        """Thinning: the stretch.  Then: the group after the digits before, and the digit of the pass."""
+        return windows.stretches(units, at, self.cuts[: p + 1] if p else (0, self.stretch), poly)
 
 
 def remove_repeats(docs: DataFrame, width: int = 400, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:

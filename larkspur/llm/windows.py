@@ -87,8 +87,8 @@ class Method:
     chunk = CHUNK
     by_id = False  # a window counts as found only where a document with a smaller id holds it
 
-    def candidates(self, p: int, found: np.ndarray | None, starts: Callable[[int], np.ndarray]) -> np.ndarray:
-        """Mask of the starts that pass ``p`` looks at; ``found`` is what the pass before left."""
+    def candidates(self, p: int, alive: np.ndarray | None, found: np.ndarray | None, starts: Callable[[int], np.ndarray], units: Callable[[], np.ndarray]) -> np.ndarray:
+        """Mask of the starts that pass ``p`` looks at; the pass before looked at ``alive`` and found ``found`` again."""
         raise NotImplementedError
 
     def names(self, p: int, units: np.ndarray, at: np.ndarray, poly: Polynomial) -> np.ndarray:
@@ -173,8 +173,8 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, method: Method, label: s
         def flush() -> pd.DataFrame:
             rows, ids, at, own, seqs, whole = map(list, zip(*parts))
             sizes = np.array([len(s) for s in seqs], np.int32)
-            alive = method.candidates(0, None, lambda n: starts_in(sizes, np.array(own), width, n))
             data = unit.join(s if isinstance(s, bytes) else unit.join(s) for s in seqs if len(s))
+            alive = method.candidates(0, None, None, lambda n: starts_in(sizes, np.array(own), width, n), lambda: unit.units(unit.cut(data)))
             return pd.DataFrame(
                 [(task + chunk, rows, ids, at, own, sizes, whole, len(data), zstandard.compress(data, 1), packed(alive), int(alive.sum()))],
                 columns=COLUMNS,
@@ -210,11 +210,12 @@ class Named:
         self.sizes, self.own = np.asarray(row["sizes"], np.int64), np.asarray(row["own"], np.int64)
         self.n = int(self.sizes.sum())
         self.seq = method.unit.cut(zstandard.decompress(row["data"]))
-        self.at = np.flatnonzero(unpacked(row["alive"], self.n))
-        units = method.unit.units(self.seq)
-        first = method.names(p, units, self.at, FIRST)
+        self.alive = unpacked(row["alive"], self.n)
+        self.at = np.flatnonzero(self.alive)
+        self.units = method.unit.units(self.seq)
+        first = method.names(p, self.units, self.at, FIRST)
         self.bucket = ((first >> _U(32)) * _U(buckets)) >> _U(32)
-        self.rest = method.names(p, units, self.at, SECOND) if last else first.astype(np.uint32)
+        self.rest = method.names(p, self.units, self.at, SECOND) if last else first.astype(np.uint32)
 
     def sort(self, only: np.ndarray | None = None) -> None:
         """``only``: the candidates to take."""
@@ -346,7 +347,8 @@ def run(docs: DataFrame, id_col: str, text_col: str, method: Method, label: str,
                 for row in rows_of(pdf):
                     c = Named(method, p, row, buckets)
                     c.sort()
-                    alive = method.candidates(p + 1, _found(c, row, method, p), lambda n: starts_in(c.sizes, c.own, method.width, n))
+                    found = _found(c, row, method, p)
+                    alive = method.candidates(p + 1, c.alive, found, lambda n: starts_in(c.sizes, c.own, method.width, n), lambda: c.units)
                     row.update(alive=packed(alive), n_alive=int(alive.sum()))
                     yield pd.DataFrame([[row[k] for k in COLUMNS]], columns=COLUMNS)
 
