@@ -33,6 +33,8 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.size(of([k])).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS],
         F.sha2(pii.joined(of(pii.BASE_KINDS)), 256).alias("base_sha256"),
         pii.joined(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
+        *[F.size(of([k])).cast("long").alias(f"n_{k}") for k in pii.EXTRA_KINDS],
     )
 
 
