@@ -5,7 +5,8 @@ before it kept.  Stages write nothing but what their operators do; :func:`run` h
 one to the next, so a lost executor costs one stage at most.
 
 Defined results: null texts pass the filters like empty texts and are packed as the end id alone;
-an empty table stays empty; columns beyond those of documents are dropped.
+an empty table stays empty; columns beyond those of documents are dropped; rows that repeat an id are
+separate documents, and each decision is about its own row: of two equal rows one is left.
 """
 
 from __future__ import annotations
@@ -19,24 +20,44 @@ from larkspur.llm.storage import materialize
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+ROW = "__row"
+
+
+def rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number for each row: its id where all ids are there and differ, else one that is stored."""
+    seen = docs.agg(F.count(F.lit(1)), F.count("doc_id"), F.count_distinct("doc_id")).first()
+    if len(set(seen)) == 1:
+        return docs.withColumn(ROW, F.col("doc_id").cast("long"))
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    return docs.join(kept.select(ROW), ROW, "left_semi").select(*COLUMNS)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that the quality classifier predicts as label 1."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    good = quality_classifier.classify(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("__id"))
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(*COLUMNS)
+    docs = rows(docs)
+    return only(docs, quality_classifier.classify(docs, labels, keep=[ROW]).where("predicted = 1"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts keep the document with the largest id."""
-    kept = exact_dedup.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(*COLUMNS)
+    docs = rows(docs)
+    return only(docs, exact_dedup.exact_dedup(docs, keep=[ROW]).where("kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents keep the one with the smallest id."""
-    found = jaccard_join.similar_components(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(*COLUMNS)
+    """Of each group of similar documents keep the one with the smallest id.
+
+    Documents without words have no shingles and are linked with nothing: all stay.
+    """
+    docs = rows(docs)
+    found = jaccard_join.similar_components(docs, id_col=ROW)
+    named = found.select(F.col("doc_id").alias(ROW), "component_id").join(docs.select(ROW, "doc_id"), ROW)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", ROW)).alias("first")
+    return only(docs, named.groupBy("component_id").agg(first).select(f"first.{ROW}"))
 
 
 def scrub(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -179,19 +179,28 @@ def held_out(id_col: Column) -> Column:
 
 
 def classify(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", cut: float = 0.3
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+    cut: float = 0.3,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """Per document: id, held_out, score and predicted (1 if score >= cut).
+    """Per document: id, the columns of ``keep``, held_out, score and predicted (1 if score >= cut).
 
     A null id counts as not held out, and no label belongs to it.
     """
-    stats = materialize(with_text_stats(docs.select(F.col(id_col).alias("__id"), F.col(text_col)), text_col, ["__id"]), "text-stats")
+    carried = {f"__keep_{i}": c for i, c in enumerate(keep or [])}
+    slim = docs.select(F.col(id_col).alias("__id"), F.col(text_col), *[F.col(c).alias(k) for k, c in carried.items()])
+    stats = materialize(with_text_stats(slim, text_col, ["__id", *carried]), "text-stats")
     marks = labels.select(F.col(id_col).alias("__of"), F.col(label_col).cast("double").alias("y")).where(F.col("y").isin(0.0, 1.0))
     train = stats.where(~held_out(F.col("__id"))).join(marks, F.col("__id") == F.col("__of")).select(*STATS, "y")
     model = fit(materialize(train, "quality-train"))
-    scored = score(stats, model, ["__id"])
+    scored = score(stats, model, ["__id", *carried])
     return scored.select(
         F.col("__id").alias(id_col),
+        *[F.col(k).alias(c) for k, c in carried.items()],
         F.coalesce(held_out(F.col("__id")), F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= cut).cast("int").alias("predicted"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -14,11 +15,14 @@ SETTING = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
-    (a local test session) a temporary folder is made and remembered.
+    The cluster names it in ``spark.checkpoint.dir``.  A local session without the setting gets a
+    temporary folder, which is remembered; a cluster without it raises, as no folder of one
+    machine is seen by the others.
     """
     base = spark.conf.get(SETTING, None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError(f"{SETTING} has to name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="larkspur-")
         spark.conf.set(SETTING, base)
     return base.rstrip("/")
@@ -42,6 +46,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in any filesystem that Spark reaches."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table of :func:`materialize` that no later plan reads."""
     spark = df.sparkSession

@@ -69,11 +69,49 @@ def test_run_chains_the_stages(spark, sf_dir):
 def test_odd_documents_pass_every_stage(spark, tmp_path):
     labels = spark.createDataFrame([(3 * i, i % 2) for i in range(27)], "doc_id long, quality int")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
-    for docs in (X.documents(spark), X.empty(spark)):
-        docs = docs.withColumnRenamed("id", "extra")
-        for _, stage in C.STAGES:
-            docs = stage(spark, docs, str(tmp_path))
-        assert docs.count() >= 0
+    docs = X.documents(spark).withColumnRenamed("id", "extra")
+    given = {r.doc_id: r.text for r in docs.collect()}
+    good = {r.doc_id for r in quality_classifier.classify(docs, labels).where("predicted = 1").collect()}
+    docs = C.quality(spark, docs, str(tmp_path))
+    assert docs.columns == C.COLUMNS and texts(docs) == {d: given[d] for d in good}
+    docs = docs.unionByName(X.documents(spark).select(*C.COLUMNS).where(~F.col("doc_id").isin(list(good))))  # all cases go on
+    last = {}
+    for d, t in given.items():
+        last[t or ""] = max(d, last.get(t or "", d))
+    docs = C.exact(spark, docs, str(tmp_path))
+    left = texts(docs)
+    assert left == {d: t for d, t in given.items() if last[t or ""] == d}
+    docs = C.near(spark, docs, str(tmp_path))
+    parts = X.components(left.items())
+    left = {d: t for d, t in left.items() if parts[d][1] == d}
+    assert texts(docs) == left
+    docs = C.scrub(spark, docs, str(tmp_path))
+    assert set(texts(docs)) == set(left) and not any(X.spans(t) for t in texts(docs).values())
+    pieces = C.pack(spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id for r in pieces} == set(left)
+
+    docs = X.empty(spark).withColumnRenamed("id", "extra")
+    for name, stage in C.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.count() == 0 and (name == "packing" or docs.columns == C.COLUMNS)
+
+
+def test_decisions_are_about_rows(spark, tmp_path):
+    long_text = " ".join(f"word{i}" for i in range(60))
+    near_text = long_text.replace("word30 ", "other ")
+    rows = [(1, "same"), (1, "same"), (1, "else"), (2, "same"), (None, "same"), (5, long_text), (5, near_text), (6, near_text + " end"), (None, None), (None, "")]
+    full = [(i, t, "en", "s", len(t or "")) for i, t in rows]
+    docs = spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long")
+    left = C.exact(spark, docs, str(tmp_path))
+    assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == sorted(
+        [(1, "else"), (2, "same"), (5, long_text), (5, near_text), (6, near_text + " end"), (0, "")]
+    )
+    again = C.near(spark, left, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0) for r in again) == [0, 1, 2, 5]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    good = [r.text or "" for r in quality_classifier.classify(docs, labels, keep=["text"]).where("predicted = 1").collect()]
+    assert sorted(r.text or "" for r in C.quality(spark, docs, str(tmp_path)).collect()) == sorted(good)
 
 
 def test_every_operator_is_registered():

@@ -122,17 +122,43 @@ def test_exact_dedup_across_batches(spark, tmp_path):
     exact_dedup.exact_dedup(a, index_path=at).collect()
     got = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup.exact_dedup(b, index_path=at).collect()}
     assert got == {3: (1, False), 4: (5, False), 5: (5, True)}
-    again = {r.doc_id: r.kept for r in exact_dedup.exact_dedup(b, index_path=at).collect()}
-    assert again == {3: False, 4: False, 5: False}
+    again = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup.exact_dedup(b, index_path=at).collect()}
+    assert again == got  # the same batch once more
+    other = {r.doc_id: r.kept for r in exact_dedup.exact_dedup(b, index_path=at, batch_id="another").collect()}
+    assert other == {3: False, 4: False, 5: False}
     assert exact_dedup.DigestIndex(spark, at, 4).read().count() == 3
 
 
+def test_failed_batch_can_be_repeated(spark, tmp_path, monkeypatch):
+    at = f"file://{tmp_path}/index"
+    index = exact_dedup.DigestIndex(spark, at, 4)
+    rows = [(1, "a"), (2, "b"), (3, "a"), (4, "c")]
+    batch = spark.createDataFrame(rows, "doc_id long, text string")
+    lost = exact_dedup.dedup(batch, index)  # appended, but its result is never stored
+    assert index.read().count() == 3 and lost is not None
+    # An append that was cut off: only a part of the entries is there.
+    part = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/part", 4)
+    name = exact_dedup.batch_name(batch.select(F.col("doc_id").alias("row_id"), exact_dedup.text_digest(F.col("text")).alias("digest")))
+    one = batch.where("doc_id = 2").select(exact_dedup.text_digest(F.col("text")).alias("digest"), F.col("doc_id").alias("keep_id"))
+    part.append(one, name)
+    for again in (index, part):
+        got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.dedup(batch.repartition(3), again).collect()}
+        assert got == {1: (3, 2, False), 2: (2, 1, True), 3: (3, 2, True), 4: (4, 1, True)}
+        assert again.read().count() == again.read().select("digest").distinct().count() == 3
+
+
+def test_index_is_opened_with_its_buckets_only(spark, tmp_path):
+    exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index", 4)
+    with pytest.raises(ValueError, match="4 buckets, not 8"):
+        exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index", 8)
+
+
 def test_index_join_does_not_shuffle_the_index(spark, tmp_path):
     index = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index", 4)
     batch = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     groups = batch.select(exact_dedup.text_digest(F.col("text")).alias("digest"), F.col("doc_id").alias("keep_id"))
-    index.append(groups)
-    plan = index.missing(groups)._jdf.queryExecution().executedPlan().toString()
+    index.append(groups, "one")
+    plan = index.missing(groups, "two")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1
 
 
