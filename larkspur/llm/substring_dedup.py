@@ -1,6 +1,6 @@
 """Substring deduplication by level-wise doubling of repeated word windows.
 
-Levels are window lengths, each twice the one before (7, 13, 25 and 50 words for a width of 50; odd
+Levels are window lengths, each twice the one before (13, 25 and 50 words for a width of 50; odd
 halves are rounded up, and the two halves then share a word).  The first level looks at the windows of its
 length in all documents.  At each further level a start stays a candidate only if both halves of
 its longer window repeated at the level before; only these are named and counted again.  At the
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from larkspur.llm import windows
 from larkspur.llm.hashing import Polynomial
 
-SHORTEST = 8  # windows of the first level have fewer words
+SHORTEST = 16  # windows of the first level have fewer words
 
 
 def levels(width: int) -> list[int]:

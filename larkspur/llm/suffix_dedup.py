@@ -47,20 +47,18 @@ class Radix(windows.Method):
 
     def candidates(self, p: int, alive: np.ndarray | None, found: np.ndarray | None, starts: Callable[[int], np.ndarray], units: Callable[[], np.ndarray]) -> np.ndarray:
         if p == 0:
-            places = np.flatnonzero(starts(self.stretch))
-            ends = self.names(0, units(), places, FIRST) & np.uint64((1 << THIN) - 1)
-            mask = starts(self.stretch)
-            mask[places[ends != 0]] = False
+            mask, hashed = starts(self.stretch), units()
+            for lo in range(0, len(mask), windows.BLOCK):
+                places = np.flatnonzero(mask[lo : lo + windows.BLOCK])
+                names = self.names(0, hashed[lo : lo + windows.BLOCK + self.stretch], places, FIRST)
+                mask[lo + places] = (names & np.uint64((1 << THIN) - 1)) == 0
             return mask
         if p > 1:
             return found
         # A place that is alone rules out the windows that begin up to width - stretch before it.
         alone = np.flatnonzero(alive & ~found)
         reach = self.width - self.stretch
-        edge = np.zeros(len(alive) + 1, np.int32)
-        np.add.at(edge, np.maximum(alone - reach, 0), 1)
-        edge[alone + 1] -= 1
-        return starts(self.width) & (np.cumsum(edge[:-1]) == 0)
+        return windows.fill(starts(self.width), np.maximum(alone - reach, 0), alone + 1, False)
 
     def names(self, p: int, units: np.ndarray, at: np.ndarray, poly: Polynomial) -> np.ndarray:
         """Thinning: the stretch.  Then: the group after the digits before, and the digit of the pass."""

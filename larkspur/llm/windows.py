@@ -22,6 +22,7 @@ more, growing with the number of buckets).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,15 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.hashing import FIRST, SECOND, Polynomial, byte_units, hash_words, mix
-from larkspur.llm.storage import discard, materialize, release
+from larkspur.llm.storage import delete, discard, materialize, new_path, release
 from larkspur.llm.texts import NO_ID
 
-CHUNK = 8 << 20  # bytes of text in a chunk, but for one word
+CHUNK = 4 << 20  # bytes of text in a chunk, but for one word
 BUCKET = 16 << 20  # names in a bucket, about
 BLOCK = 1 << 16  # starts that are hashed at once
 _U = np.uint64
 TABLE = "chunk long, rows array<long>, ids array<long>, at array<long>, own array<int>, sizes array<int>, whole array<boolean>, bytes long, data binary, alive binary, n_alive long"
 COLUMNS = [c.split()[0] for c in TABLE.split(", ")]
+STATE = "chunk long, alive binary, n_alive long"
 
 
 class Words:
@@ -137,6 +139,15 @@ def stretches(units: np.ndarray, at: np.ndarray, cuts: tuple[int, ...], poly: Po
     return out
 
 
+def fill(mask: np.ndarray, lo: np.ndarray, hi: np.ndarray, value: bool) -> np.ndarray:
+    """Set the ranges lo:hi, both ascending, of ``mask``."""
+    if len(lo):
+        apart = np.flatnonzero(lo[1:] > hi[:-1])
+        for a, b in zip(lo[np.append(0, apart + 1)].tolist(), hi[np.append(apart, len(hi) - 1)].tolist()):
+            mask[a:b] = value
+    return mask
+
+
 def starts_in(sizes: np.ndarray, own: np.ndarray, width: int, length: int) -> np.ndarray:
     """Mask of the starts of runs of ``length`` units that lie in a window of ``width`` units.
 
@@ -146,21 +157,38 @@ def starts_in(sizes: np.ndarray, own: np.ndarray, width: int, length: int) -> np
     first = ends - sizes
     last = np.minimum(first + own, ends - width + 1)
     some = last > first
-    edge = np.zeros(int(ends[-1]) + 1 if len(ends) else 1, np.int32)
-    np.add.at(edge, first[some], 1)
-    np.add.at(edge, last[some] + width - length, -1)
-    return np.cumsum(edge[:-1]) > 0
+    return fill(np.zeros(int(ends[-1]) if len(ends) else 0, bool), first[some], last[some] + width - length, True)
 
 
 def covered(starts: np.ndarray, n: int, width: int) -> np.ndarray:
-    """Which of ``n`` units the windows that begin at ``starts`` cover."""
-    edge = np.bincount(starts, minlength=n + width + 1)
-    edge[width:] -= edge[: len(edge) - width].copy()
-    return np.cumsum(edge[:n]) > 0
+    """Which of ``n`` units the windows that begin at ``starts`` (ascending) cover."""
+    return fill(np.zeros(n, bool), starts, starts + width, True)
+
+
+class Chunks:
+    """The stored texts, bucketed by chunk: a pass joins its masks and bits to them and never shuffles them."""
+
+    def __init__(self, rows: DataFrame, label: str):
+        self.spark = rows.sparkSession
+        self.name = f"{label}_{uuid.uuid4().hex}"
+        self.path = new_path(self.spark, f"{label}-chunks")
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.spark.sql(f"CREATE TABLE {self.name} ({TABLE}) USING parquet CLUSTERED BY (chunk) INTO {buckets} BUCKETS LOCATION '{self.path}'")
+        rows.repartition(buckets, "chunk").write.insertInto(self.name)
 
+    def read(self, state: DataFrame | None, hits: DataFrame | None = None) -> DataFrame:
+        """All chunks with the mask of ``state``, or their first one, and with the bits of ``hits``."""
+        table = self.spark.table(self.name)
+        if state is not None:
+            table = table.drop("alive", "n_alive").join(state.hint("shuffle_hash"), "chunk", "left")
+        return table if hits is None else table.join(hits.hint("shuffle_hash"), "chunk", "left")
 
-def chunks(docs: DataFrame, id_col: str, text_col: str, method: Method, label: str) -> DataFrame:
-    """The table of chunks, stored."""
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE {self.name}")
+        delete(self.spark, self.path)
+
+
+def chunks(docs: DataFrame, id_col: str, text_col: str, method: Method, label: str) -> Chunks:
     unit, width = method.unit, method.width
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,7 +227,7 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, method: Method, label: s
             yield flush()
 
     slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
-    return materialize(slim.mapInPandas(build, TABLE), f"{label}-chunks")
+    return Chunks(slim.mapInPandas(build, TABLE), label)
 
 
 class Named:
@@ -221,12 +249,12 @@ class Named:
         """``only``: the candidates to take."""
         if only is not None:
             self.at, self.bucket, self.rest = self.at[only], self.bucket[only], self.rest[only]
-        if self.rest.dtype == np.uint32:
-            order = np.argsort((self.bucket << _U(32)) | self.rest)
-        else:
-            order = np.argsort(self.rest)
-            order = order[np.argsort(self.bucket[order].astype(np.uint32), kind="stable")]
+        order = deal(self.bucket)
         self.at, self.bucket, self.rest = self.at[order], self.bucket[order], self.rest[order]
+        new = np.flatnonzero(np.append(True, self.bucket[1:] != self.bucket[:-1])) if len(order) else order
+        for a, b in zip(new, np.append(new[1:], len(order))):  # a bucket's part of a chunk fits the cache
+            inner = np.argsort(self.rest[a:b])
+            self.at[a:b], self.rest[a:b] = self.at[a:b][inner], self.rest[a:b][inner]
         new = np.ones(len(self.at), bool)
         new[1:] = (self.rest[1:] != self.rest[:-1]) | (self.bucket[1:] != self.bucket[:-1])
         self.heads = np.flatnonzero(new)  # the first candidate of each distinct name
@@ -238,6 +266,12 @@ class Named:
         return np.asarray(row["ids"], np.int64)[piece]
 
 
+def deal(bucket: np.ndarray) -> np.ndarray:
+    """The order of the buckets' numbers; numbers of 16 bits are dealt by two counting passes."""
+    few = len(bucket) == 0 or int(bucket.max()) < 1 << 16
+    return np.argsort(bucket.astype(np.uint16 if few else np.uint32), kind="stable")
+
+
 def rows_of(pdf: pd.DataFrame) -> Iterator[dict]:
     names = list(pdf.columns)
     for values in zip(*(pdf[c] for c in names)):
@@ -324,23 +358,23 @@ def _found(c: Named, row, method: Method, p: int) -> np.ndarray:
 def run(docs: DataFrame, id_col: str, text_col: str, method: Method, label: str, finish: Callable[[dict, Named, np.ndarray], list[tuple]], columns: list[str], schema: str) -> DataFrame:
     """All passes; ``finish`` gives the rows of a chunk from the starts whose window occurs again."""
     spark = docs.sparkSession
-    table = chunks(docs, id_col, text_col, method, label)
+    table, state, stored = chunks(docs, id_col, text_col, method, label), None, []
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = table.read(None).agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     for p in range(method.passes):
         last = p == method.passes - 1
-        size = table.agg(F.coalesce(F.sum("n_alive"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
-        slices = max(1, -(-size[0] * ((16 if method.by_id else 8) if last else 4) // max(1, size[1])))
-        buckets = max(slices * tasks, -(-size[0] // BUCKET))
+        n = (table.read(None) if state is None else state).agg(F.coalesce(F.sum("n_alive"), F.lit(0))).first()[0]
+        slices = max(1, -(-n * ((16 if method.by_id else 8) if last else 4) // max(1, texts)))
+        buckets = max(slices * tasks, -(-n // BUCKET))
         cuts = [buckets * k // slices for k in range(slices + 1)]
-        hits, stored = None, []
+        hits = None
         for lo, hi in zip(cuts[:-1], cuts[1:]):
-            sent = _send(table, method, p, buckets, lo, hi)
+            sent = _send(table.read(state), method, p, buckets, lo, hi)
             some = materialize(sent.groupBy("bucket").applyInPandas(_elsewhere(method, p), "chunk long, bucket long, bits binary"), f"{label}-hits")
             stored.append(some)
             hits = some if hits is None else hits.unionByName(some)
             release(spark)
-        hits = hits.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("hits"))
-        told = table.join(hits, "chunk", "left")
+        told = table.read(state, hits.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("hits")))
 
         def absorb(batches: Iterator[pd.DataFrame], p: int = p, buckets: int = buckets) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -349,8 +383,7 @@ def run(docs: DataFrame, id_col: str, text_col: str, method: Method, label: str,
                     c.sort()
                     found = _found(c, row, method, p)
                     alive = method.candidates(p + 1, c.alive, found, lambda n: starts_in(c.sizes, c.own, method.width, n), lambda: c.units)
-                    row.update(alive=packed(alive), n_alive=int(alive.sum()))
-                    yield pd.DataFrame([[row[k] for k in COLUMNS]], columns=COLUMNS)
+                    yield pd.DataFrame({"chunk": [row["chunk"]], "alive": [packed(alive)], "n_alive": [int(alive.sum())]})
 
         def end(batches: Iterator[pd.DataFrame], p: int = p, buckets: int = buckets) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -360,14 +393,15 @@ def run(docs: DataFrame, id_col: str, text_col: str, method: Method, label: str,
                     yield pd.DataFrame(finish(row, c, _found(c, row, method, p)), columns=columns)
 
         if last:
-            out = materialize(told.mapInPandas(end, schema), f"{label}-parts")
+            out = materialize(told.drop("bytes", "n_alive").mapInPandas(end, schema), f"{label}-parts")
         else:
-            out = materialize(told.mapInPandas(absorb, TABLE), f"{label}-chunks")
-        for old in (table, *stored):
+            out = materialize(told.select("chunk", "ids", "own", "sizes", "data", "alive", "hits").mapInPandas(absorb, STATE), f"{label}-state")
+        for old in stored:
             discard(old)
+        state, stored = out, [out]
         release(spark)
-        table = out
-    return table
+    table.drop()
+    return out
 
 
 PART = "row long, id long, at long, n long, n_gone long, spans long, kept {kind}, data binary, gone binary"
