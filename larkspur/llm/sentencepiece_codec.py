@@ -1,13 +1,14 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
-Every position of the text keeps one backpointer: the last piece of the best path that ends
-there.  For a BPE model the best path is the one that merging would make, and a path is that one
+Every position of the text that a piece ends at keeps one backpointer: the last piece of the best
+path there.  For a BPE model the best path is the one that merging would make, and a path is that one
 exactly when each two neighbouring pieces are what merging makes of their joined text; so a
 piece survives at a position if it fits the piece before it.  Only positions within the longest
-piece's length can start another piece.  When the paths of all of these go through one boundary, the
-ids before it are committed and forgotten.  Where no piece can span a boundary (before a word
-mark that follows other text) paths always converge, so the ids of short runs between such boundaries
-are remembered.
+piece's length ahead can be ends of open paths, so a ring of that many ends is all that the search
+holds; texts are read on without looking back.  When the paths of all ends of the ring go through one
+boundary, the ids before it are committed and forgotten.  Where no piece can span a boundary (before a
+word mark that follows other text) paths always converge, so the ids of short runs between such
+boundaries are remembered.
 
 Ids equal those of the library for BPE models with byte fallback and without other normalisation
 than the word marks; other models are refused.
@@ -32,7 +33,6 @@ from pyspark.sql import functions as F
 MARK = "▁"
 REMEMBERED = 400_000  # runs and pairs that a codec keeps at most
 SHORT = 48  # longer runs are not remembered
-COMMIT_EVERY = 256  # positions between looks for a common boundary; more than the longest piece
 
 
 class Codec:
@@ -56,7 +56,7 @@ class Codec:
             raise ValueError("models that normalise text are not supported")
         self.longest = max(map(len, self.ids))
         alone = "\n" if not any("\n" in p for p in self.ids) else ""
-        self.runs = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|{alone}" if alone else "")).findall
+        self.runs = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|{alone}" if alone else "")).finditer
         self.remembered: dict[str, list[int]] = {}
         self.fitting: dict[int, bool] = {}
         if not all(c in self.ids for p in self.ids for c in p):
@@ -99,15 +99,21 @@ class Codec:
     def search(self, run: str) -> Iterator[int]:
         """The ids of the pieces of ``run``, committed as soon as all surviving paths agree on them.
 
-        Signs without a piece come as -1 - code point.
+        Signs without a piece come as -1 - code point.  An end is (piece, end before, position): ends that
+        no open path goes through are let go of, and :meth:`_agreed` cuts what is committed.
         """
-        size, tree, fitting, fits = len(run), self.tree, self.fitting, self.fits
-        last: list = [None] * (size + 1)  # last[j]: the piece that ends at j on the path to j
-        done, seen = 0, COMMIT_EVERY  # ids up to done are committed but for the piece that ends there
+        size, tree, fitting, fits, longest = len(run), self.tree, self.fitting, self.fits, self.longest
+        room = longest + 1
+        ring: list = [None] * room
+        here = [None, None, 0]  # the end that the search stands on
+        root, seen = here, longest
         for at in range(size):
-            before = last[at]
-            if before is None and at:
-                before = last[at] = -1 - ord(run[at - 1])
+            if at:
+                slot = at % room
+                # Without a piece that ends here, the sign before is one of its own.
+                here = ring[slot] or [-1 - ord(run[at - 1]), here, at]
+                ring[slot] = None
+            before = here[0]
             end, follow = at, tree
             pair = -1 if before is None or before < 0 else before << 16
             while end < size:
@@ -116,44 +122,35 @@ class Codec:
                     break
                 piece, follow = step
                 end += 1
-                if piece >= 0 and last[end] is None:
+                if piece >= 0 and ring[end % room] is None:
                     if pair < 0:
-                        last[end] = piece
+                        ring[end % room] = [piece, here, end]
                     else:
                         known = fitting.get(pair | piece)
                         if known or known is None and fits(before, piece):
-                            last[end] = piece
+                            ring[end % room] = [piece, here, end]
             if at >= seen:
-                seen = at + COMMIT_EVERY
-                # Paths go on from here or from an end ahead that a piece has reached already.
-                ahead = [j for j in range(at + 1, min(size, at + self.longest) + 1) if last[j] is not None]
-                common = self._common(last, [at, *ahead], done)
-                if common > done:
-                    yield from self._path(last, done, common)
-                    last[done:common] = [None] * (common - done)
-                    done = common
+                seen = at + longest
+                agreed = self._agreed([here, *filter(None, ring)])
+                yield from self._path(agreed, root)
+                agreed[1], root = None, agreed
         if size:
-            if last[size] is None:
-                last[size] = -1 - ord(run[-1])
-            yield from self._path(last, done, size)
-
-    def _length(self, piece: int) -> int:
-        return 1 if piece < 0 else len(self.text[piece])
-
-    def _common(self, last: list, ends: list[int], done: int) -> int:
-        """The largest boundary that the paths of all ``ends`` go through."""
-        left = set(ends)
-        while len(left) > 1:
-            top = max(left)
-            left.remove(top)
-            left.add(max(done, top - self._length(last[top])))
-        return left.pop()
-
-    def _path(self, last: list, start: int, end: int) -> list[int]:
+            last = ring[size % room] or [-1 - ord(run[-1]), here, size]
+            yield from self._path(last, root)
+
+    def _agreed(self, ends: list[list]) -> list:
+        """The last end that the paths to all ``ends`` go through."""
+        open_ends = {e[2]: e for e in ends}
+        while len(open_ends) > 1:
+            before = open_ends.pop(max(open_ends))[1]
+            open_ends[before[2]] = before
+        return open_ends.popitem()[1]
+
+    def _path(self, end: list, root: list) -> list[int]:
         out = []
-        while end > start:
-            out.append(last[end])
-            end -= self._length(last[end])
+        while end is not root:
+            out.append(end[0])
+            end = end[1]
         return out[::-1]
 
     def _ids(self, pieces: Iterator[int]) -> list[int]:
@@ -170,7 +167,8 @@ class Codec:
         if not text:
             return out
         known = self.remembered
-        for run in self.runs(MARK + text.replace(" ", MARK)):
+        for found in self.runs(MARK + text.replace(" ", MARK)):
+            run = found[0]
             ids = known.get(run)
             if ids is None:
                 ids = self._ids(self.search(run))

@@ -5,6 +5,8 @@ import hashlib
 import json
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from larkspur.llm import sentencepiece_codec, warc
 from tests.llm import fixtures as X
@@ -100,14 +102,29 @@ def test_codec_matches_the_library(spark, sf_dir):
         assert tool.decode(ids) == plain.decode(ids), t[:80]
 
 
-def test_commits_do_not_change_the_path(monkeypatch):
-    tool = sentencepiece_codec.Codec(model())
-    texts = ["the" * 700, "abcdefghij" * 90, "日本語" * 300, "1234567890" * 50]
-    monkeypatch.setattr(sentencepiece_codec, "COMMIT_EVERY", 10**9)
-    whole = [list(tool.search(t)) for t in texts]
-    for every in (1, 17, 64):
-        monkeypatch.setattr(sentencepiece_codec, "COMMIT_EVERY", every)
-        assert [list(tool.search(t)) for t in texts] == whole
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.sampled_from("abeinorstu \u2581é😀.,"), max_size=400))
+def test_search_equals_the_library_on_whole_runs(text):
+    import sentencepiece
+
+    tool, library = sentencepiece_codec.codec(model()), sentencepiece.SentencePieceProcessor(model_file=model())
+    if not text or "\u2581" in text:
+        return
+    run = "\u2581" + text.replace(" ", "\u2581")  # one run: nothing is remembered, ids come from the window alone
+    assert tool._ids(tool.search(run)) == library.encode(text)
+
+
+def test_search_holds_a_window_only():
+    import tracemalloc
+
+    tool = sentencepiece_codec.codec(model())
+    run = "\u2581" + "internationalisations" * 20_000
+    list(tool.search(run[:5000]))  # fills the table of fitting pairs
+    tracemalloc.start()
+    count = sum(1 for _ in tool.search(run))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert count > 20_000 and peak < 500_000
 
 
 def test_codec_queries(spark):
