@@ -6,10 +6,13 @@ import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+_own: dict[str, str] = {}  # folders of local sessions without the setting, by application
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,12 +22,11 @@ def shared_dir(spark: SparkSession) -> str:
     temporary folder, which is remembered; a cluster without it raises, as no folder of one
     machine is seen by the others.
     """
-    base = spark.conf.get(SETTING, None)
+    base = spark.conf.get(SETTING, None) or _own.get(spark.sparkContext.applicationId)
     if not base:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError(f"{SETTING} has to name a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="larkspur-")
-        spark.conf.set(SETTING, base)
+        base = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="larkspur-")
     return base.rstrip("/")
 
 
@@ -43,9 +45,28 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._larkspur_path = path
+    for scope in _scopes[-1:]:
+        scope.append(out)
     return out
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def spent_after() -> Iterator[None]:
+    """Tables that :func:`materialize` stores inside are deleted at the end.
+
+    Only what is made outside, such as a stored result, may be read later.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for table in _scopes.pop():
+            discard(table)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, in any filesystem that Spark reaches."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

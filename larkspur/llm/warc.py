@@ -9,7 +9,8 @@ a file than one buffer; a record's block is never held as a whole by the normali
 Files are written under a temporary name and renamed when complete, and a task repeats the same
 names, so a lost executor leaves no half archive behind a name that is read.
 
-Defined results: a null html is an empty payload; payloads of under ``MIN_REVISIT`` bytes are
+Defined results: a null html is an empty payload; a null url is written as about:blank and comes back so;
+payloads of under ``MIN_REVISIT`` bytes are
 always responses; rows that repeat the largest page_id of a payload are all responses; a null
 page_id is a revisit if another page has the payload and else a response; a table without pages
 gives no archives and no records; other columns than page_id, url and html are not read.
