@@ -11,17 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_own: dict[str, str] = {}  # folders of local sessions without the setting, by application
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the folder that driver and executors share, named in ``spark.checkpoint.dir``.
 
     A local session without the setting gets a temporary folder; a cluster without it raises.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
     if not base:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="larkspur-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="larkspur-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
