@@ -119,3 +119,56 @@ def fit_debias(x: DataFrame, pred: str, real: str, out: str, least: int = 50) ->
 
     model = IsotonicRegression(featuresCol=pred, labelCol=real, predictionCol=out).fit(x)
     return Debias("isotonic", model=model)
+
+
+def crossfit_line(x: DataFrame, fold: str, folds: int, pred: str, real: str, out: str) -> DataFrame:
+    """``pred`` mapped by the line that the other folds fit: one job for all folds."""
+    others = F.explode(F.array_remove(F.array(*[F.lit(i) for i in range(folds)]), F.col(fold)))
+    train = x.select(pred, real, others.alias("__fold"))
+    lines = train.groupBy("__fold").agg(F.regr_slope(real, pred).alias("__b"), F.avg(pred).alias("__p"), F.avg(real).alias("__r"))
+    mapped = F.col("__r") + F.coalesce("__b", F.lit(1.0)) * (F.col(pred) - F.col("__p"))
+    return x.withColumn("__fold", F.col(fold)).join(F.broadcast(lines), "__fold", "left").withColumn(out, mapped).drop("__fold", "__b", "__p", "__r")
+
+
+def residual_grid(x: DataFrame, actual: str, base_log: str, residual: str, alphas: list[float], caps: list[float]) -> DataFrame:
+    """(alpha, cap, wmape) of each capped share of a residual, in one job; alpha 0 is tried once, as caps do not matter there."""
+    from larkspur.operators.metrics import wmape
+
+    points = [(a, c) for a in alphas for c in (caps if a else caps[:1])]
+    grid = F.explode(F.array(*[F.struct(F.lit(float(a)).alias("alpha"), F.lit(float(c)).alias("cap")) for a, c in points]))
+    step = clip(F.col("g.alpha") * F.col(residual), F.col("g.cap") * -1, F.col("g.cap"))
+    rows = x.select(actual, base_log, residual, grid.alias("g")).withColumn("__after", F.expm1(F.col(base_log) + step))
+    return rows.groupBy(F.col("g.alpha").alias("alpha"), F.col("g.cap").alias("cap")).agg(wmape(actual, "__after").alias("wmape"))
+
+
+def shrink_grid(x: DataFrame, actual: str, pred_log: str, risk: Column, alphas: list[float]) -> DataFrame:
+    """(alpha, centre, wmape) of each shrinking of risky rows towards the mean, in one job."""
+    from larkspur.operators.metrics import wmape
+
+    centre = F.broadcast(x.agg(F.avg(pred_log).alias("centre")))
+    rows = x.crossJoin(centre).withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
+    shrunk = F.when(risk & (F.col("alpha") < 1), F.col("centre") + F.col("alpha") * (F.col(pred_log) - F.col("centre"))).otherwise(F.col(pred_log))
+    return rows.withColumn("__after", F.expm1(shrunk)).groupBy("alpha", "centre").agg(wmape(actual, "__after").alias("wmape"))
+
+
+@dataclass
+class Shrink:
+    """A fitted shrinking; kept as a JSON record, and the identity where none was kept."""
+
+    alpha: float = 1.0
+    centre: float = 0.0
+
+    def save(self, spark, path: str) -> None:
+        from larkspur.sources.scans import write_record
+
+        write_record(spark, {"alpha": self.alpha, "centre": self.centre}, path)
+
+    @staticmethod
+    def load(spark, path: str) -> Shrink | None:
+        from larkspur.sources.scans import exists, read_record
+
+        return Shrink(**read_record(spark, path)) if exists(spark, path) else None
+
+    @staticmethod
+    def apply(fitted: Shrink | None, pred: Column | str, risk: Column) -> Column:
+        return col(pred) if fitted is None else sparse_shrink(pred, risk, fitted.alpha, F.lit(fitted.centre))

@@ -67,3 +67,15 @@ def fold_safe(rows: DataFrame, fold: str, folds: int, zone: str, y: str) -> Data
     others = rows.select(F.col(zone), F.col(y), F.explode(F.array_remove(F.array(*[F.lit(i) for i in range(folds)]), F.col(fold))).alias("__fold"))
     fitted, overall = zone_quantiles(others, zone, y, ["__fold"])
     return look_up(rows.withColumn("__fold", F.col(fold)), fitted, overall, [zone], ["__fold"]).drop("__fold")
+
+
+def fold_safe_median(rows: DataFrame, fold: str, folds: int, zone: str, x: str, weight: float = SMOOTHING) -> DataFrame:
+    """Each row with its zone's shrunk median of x over the other folds (the overall one for unknown zones)."""
+    v = clip(F.coalesce(F.col(x), F.lit(0.0)), low=0.0)
+    others = F.explode(F.array_remove(F.array(*[F.lit(i) for i in range(folds)]), F.col(fold)))
+    train = rows.select(F.col(zone).alias("__zone"), v.alias("v"), others.alias("__fold"))
+    overall = train.groupBy("__fold").agg(F.median("v").alias("__all"))
+    zones = train.where("__zone is not null").groupBy("__fold", "__zone").agg(F.count("v").alias("__n"), F.median("v").alias("__m"))
+    out = rows.withColumns({"__fold": F.col(fold), "__zone": F.col(zone)}).join(zones, ["__fold", "__zone"], "left").join(F.broadcast(overall), "__fold", "left")
+    value = F.coalesce((F.col("__n") * F.col("__m") + weight * F.col("__all")) / (F.col("__n") + weight), F.col("__all"))
+    return out.withColumn("zone_median", value).drop("__fold", "__zone", "__n", "__m", "__all")

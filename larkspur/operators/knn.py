@@ -91,3 +91,13 @@ def mean_target(query: DataFrame, reference: DataFrame, k: int = 20, exclude_sel
     overall = F.broadcast(reference.agg(F.avg("y").alias("g")))
     out = query.select("id").join(near, "id", "left").crossJoin(overall)
     return out.select("id", F.coalesce("m", "g", F.lit(0.0)).alias("knn"))
+
+
+def fold_safe(x: DataFrame, fold: str, folds: int, k: int = 20) -> DataFrame:
+    """(id, knn, knn_train): mean target of the k nearest rows of the other folds, and, for the row as a training
+    row of its own fold's encoder, of the k nearest others of all folds (itself left out)."""
+    parts = None
+    for i in range(folds):
+        one = mean_target(x.where(F.col(fold) == i), x.where(F.col(fold) != i), k)
+        parts = one if parts is None else parts.unionByName(one)
+    return parts.join(mean_target(x, x, k, exclude_self=True).withColumnRenamed("knn", "knn_train"), "id")

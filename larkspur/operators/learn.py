@@ -99,19 +99,33 @@ def grid_best(x: DataFrame, grid: list[tuple[float, float]], price: str, pred: s
 
 
 def choice_errors(x: DataFrame, actual: str, choices: dict) -> DataFrame:
-    """(choice, wmape) of several predictions of one table, in one pass."""
-    from larkspur.operators.metrics import wmape
-
-    row = x.withColumns({f"__c{i}": c for i, c in enumerate(choices.values())}).agg(*[wmape(actual, f"__c{i}").alias(f"w{i}") for i in range(len(choices))])
-    cells = [F.struct(F.lit(float(k)).alias("choice"), F.col(f"w{i}").alias("wmape")) for i, k in enumerate(choices)]
+    """(choice, wmape, q1_mape) of several predictions of one table, in one pass; q1 is the cheapest fifth by ``actual``."""
+    from larkspur.operators.metrics import quantile_edges, wmape
+
+    edge = (quantile_edges(x, actual, 5) or [None])[0]
+    names = list(enumerate(choices.values()))
+    share = lambda c: F.abs(c - F.col(actual)) / F.nullif(F.col(actual), F.lit(0.0))
+    cheap = lambda i: F.when(F.col(actual) <= edge, share(F.col(f"__c{i}")))
+    sums = [f for i, _ in names for f in (wmape(actual, f"__c{i}").alias(f"w{i}"), (100.0 * F.avg(cheap(i))).alias(f"q{i}"))]
+    row = x.withColumns({f"__c{i}": c for i, c in names}).agg(*sums)
+    cells = [F.struct(F.lit(float(k)).alias("choice"), F.col(f"w{i}").alias("wmape"), F.col(f"q{i}").alias("q1_mape")) for i, k in enumerate(choices)]
     return row.select(F.explode(F.array(*cells)).alias("s")).select("s.*")
 
 
-def best_within(scored: DataFrame, base: float, budget: float) -> DataFrame:
-    """The choice with the highest roi_mean (to 4 places) whose wMAPE is at most ``budget`` over the base's; then by wMAPE."""
+def eligible_within(scored: DataFrame, base: float, budget: float) -> DataFrame:
+    """The choices whose wMAPE is at most ``budget`` over the base's."""
     limit = scored.where(F.col("choice") == base).select((F.col("wmape") + budget).alias("__limit"))
-    eligible = scored.crossJoin(F.broadcast(limit)).where(F.col("wmape") <= F.col("__limit")).drop("__limit")
-    return eligible.orderBy(F.desc(F.bround("roi_mean", 4)), "wmape", "choice").limit(1)
+    return scored.crossJoin(F.broadcast(limit)).where(F.col("wmape") <= F.col("__limit")).drop("__limit")
+
+
+def best_within(scored: DataFrame, base: float, budget: float) -> DataFrame:
+    """The eligible choice with the highest roi_mean (to 4 places), then the lowest wMAPE, q1_mape and choice."""
+    return eligible_within(scored, base, budget).orderBy(F.desc(F.bround("roi_mean", 4)), "wmape", "q1_mape", "choice").limit(1)
+
+
+def top_within(scored: DataFrame, base: float, budget: float, most: int = 8) -> DataFrame:
+    """The ``most`` eligible choices with the highest roi_mean."""
+    return eligible_within(scored, base, budget).orderBy(F.desc("roi_mean"), "choice").limit(most)
 
 
 def pick_strategy(roi: dict[str, float], base: str, residual: str, fusion: str) -> str:
@@ -151,17 +165,46 @@ def standardised_pca(x: DataFrame, id_: str, vector: str, k: int) -> DataFrame:
     return model.transform(centred).select(id_, vector_to_array("__s").alias("scores"))
 
 
-def truncated_svd(x: DataFrame, id_: str, vector: str, k: int) -> DataFrame:
-    """(id, scores): projections on the k leading right singular vectors, uncentred."""
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
+def gram(x: DataFrame, vector: str, size: int):
+    """Sum of the outer products of ``size``-dimensional vectors (a size x size matrix), added up by task first."""
+    import numpy as np
 
+    def part(batches):
+        import pandas as pd
+
+        total = np.zeros((size, size))
+        for pdf in batches:
+            rows = np.array(pdf[vector].tolist(), float).reshape(-1, size)
+            total += rows.T @ rows
+        yield pd.DataFrame({"i": np.arange(size), "row": list(total)})
+
+    sums = x.where(F.col(vector).isNotNull()).select(vector).mapInPandas(part, "i int, row array<double>")
+    added = sums.select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v")).collect()  # size * size cells
+    out = np.zeros((size, size))
+    for r in added:
+        out[r["i"], r["j"]] = r["v"]
+    return out
+
+
+def right_axes(x: DataFrame, vector: str, k: int) -> list[list[float]]:
+    """The k leading right singular vectors of the rows of ``vector``, uncentred."""
+    import numpy as np
+
+    size = x.agg(F.max(F.size(vector))).first()[0] or 0
+    values, axes = np.linalg.eigh(gram(x, vector, size)) if size else (np.zeros(0), np.zeros((0, 0)))
+    return axes[:, np.argsort(-values)[: min(k, size)]].T.tolist()
+
+
+def project(x: DataFrame, id_: str, vector: str, axes: list[list[float]]) -> DataFrame:
+    """(id, scores): rows, of the fitted table or another, along fitted axes."""
     from larkspur.functions.exprs import dot
 
-    matrix = RowMatrix(x.select(vector).rdd.map(lambda r: Vectors.dense(r[0])))
-    axes = matrix.computeSVD(k).V.toArray().T.tolist()  # k x dimensions, whatever the rows
-    scores = F.array(*[dot(vector, F.array(*map(F.lit, a))) for a in axes])
-    return x.select(id_, scores.alias("scores"))
+    return x.select(id_, F.array(*[dot(vector, F.array(*map(F.lit, a))) for a in axes]).alias("scores"))
+
+
+def truncated_svd(x: DataFrame, id_: str, vector: str, k: int) -> DataFrame:
+    """(id, scores): projections on the k leading right singular vectors, uncentred."""
+    return project(x, id_, vector, right_axes(x, vector, k))
 
 
 def term_svd(weights: DataFrame, id_: str, k: int) -> DataFrame:

@@ -24,5 +24,5 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    for module in ("encoding", "profiling", "images", "texts", "metrics", "relational", "spatial", "learning", "simulation", "incremental", "scanning"):
+    for module in ("encoding", "profiling", "images", "texts", "metrics", "relational", "spatial", "learning", "simulation", "incremental", "scanning", "selection"):
         importlib.import_module(f"larkspur.plans.{module}")

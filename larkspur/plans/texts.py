@@ -90,12 +90,15 @@ def json_rows(spark, sf_dir):
     return decode_flags(replies, "reply", ["llm_a", "llm_b"]).select("c_custkey", "zpid", F.col("llm_a").alias("a"), F.col("llm_b").alias("b"))
 
 
-@query(
-    "tfidf_top_terms",
-    f"""WITH w AS (SELECT doc_id, regexp_extract_all(translate(lower(coalesce(text, '')), '{ops.ACCENTED}', '{ops.PLAIN}'), '\\w{{2,}}') AS t FROM documents),
+TERMS_SQL = f"""w AS (SELECT doc_id, regexp_extract_all(translate(lower(coalesce(text, '')), '{ops.ACCENTED}', '{ops.PLAIN}'), '{ops.WORD}') AS t FROM documents),
           u AS (SELECT doc_id, unnest(range(1, len(t) + 1)) AS i, unnest(t) AS a FROM w),
           b AS (SELECT doc_id, a || ' ' || lead(a) OVER (PARTITION BY doc_id ORDER BY i) AS term FROM u),
-          c AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, a AS term FROM u UNION ALL SELECT * FROM b WHERE term IS NOT NULL) GROUP BY 1, 2),
+          c AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, a AS term FROM u UNION ALL SELECT * FROM b WHERE term IS NOT NULL) GROUP BY 1, 2)"""
+
+
+@query(
+    "tfidf_top_terms",
+    f"""WITH {TERMS_SQL},
           n AS (SELECT count(*) AS n FROM documents), f AS (SELECT term, count(*) AS df, sum(tf) AS total FROM c GROUP BY 1),
           v AS (SELECT term, ln((1 + n) / (1 + df)) + 1 AS idf FROM f, n WHERE df >= 3 AND df <= 0.98 * n ORDER BY total DESC, term LIMIT 5000),
           x AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM c JOIN v USING (term)), y AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM x),
@@ -109,3 +112,18 @@ def tfidf_top_terms(spark, sf_dir):
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc(F.round("weight", 9)), "term"))
     top = weights.withColumn("place", place).where("place <= 3")
     return top.select("doc_id", "term", F.col("place").cast("bigint").alias("place"), F.round("weight", 6).alias("weight"))
+
+
+@query(
+    "tfidf_applied",
+    f"""WITH {TERMS_SQL}, s AS (SELECT doc_id FROM documents WHERE lang = 'en'), n AS (SELECT count(*) AS n FROM s),
+          f AS (SELECT term, count(*) AS df, sum(tf) AS total FROM c WHERE doc_id IN (SELECT doc_id FROM s) GROUP BY 1),
+          v AS (SELECT term, ln((1 + n) / (1 + df)) + 1 AS idf FROM f, n WHERE df >= 3 AND df <= 0.98 * n ORDER BY total DESC, term LIMIT 5000),
+          x AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM c JOIN v USING (term)), y AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM x)
+        SELECT doc_id, count(*) AS n_terms, round(sum(w), 6) AS total, round(max(w), 6) AS largest FROM y GROUP BY 1""",
+)
+def tfidf_applied(spark, sf_dir):
+    """A vocabulary fitted on the English documents, applied to all."""
+    x = table(spark, sf_dir, "documents")
+    weights = ops.weigh(x, "doc_id", "text", ops.vocabulary(x.where("lang = 'en'"), "text"))
+    return weights.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.sum("weight"), 6).alias("total"), F.round(F.max("weight"), 6).alias("largest"))
