@@ -175,7 +175,7 @@ class Codec:
                 if len(run) <= SHORT:
                     if len(known) >= REMEMBERED:
                         known.clear()
-                    known[run] = ids
+                    known[run] = tuple(ids)  # the collector leaves tuples of numbers alone
             out += ids
         return out
 
