@@ -1,8 +1,7 @@
 """Out-of-fold learning: folds, imputation, boosted trees, cross-fits and grids.
 
-Trees are Spark ML's gradient-boosted trees with squared or logistic loss.  Quantile loss does not
-exist there: a quantile target is met by shifting the mean model by that quantile of its residuals
-in the training folds.  Scores are therefore not those of a quantile booster.
+Trees are those of :mod:`larkspur.operators.boost`: quantile, mean, Huber and logistic loss, all models of a
+call in the same jobs.
 """
 
 from __future__ import annotations
@@ -10,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TREES = 8
+from larkspur.operators.boost import Run, boosted
+from larkspur.sources.scans import stored
+
+ROUNDS = 30
 DEPTH = 4
 
 
@@ -24,56 +26,43 @@ def impute(x: DataFrame, columns: list[str], fitted: DataFrame | None = None) ->
     return x.crossJoin(one).withColumns({c: F.coalesce(F.col(c), F.col(f"__{c}")) for c in columns}).drop(*[f"__{c}" for c in columns])
 
 
-def with_missing_flags(x: DataFrame, columns: list[str]) -> tuple[DataFrame, list[str]]:
-    """An indicator per column: Spark's trees do not route missing values."""
-    names = [f"{c}_missing" for c in columns]
-    return x.withColumns({n: F.col(c).isNull().cast("double") for n, c in zip(names, columns)}), names
-
-
-def _assembled(x: DataFrame, features: list[str]) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-
-    return VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="keep").transform(x)
-
-
-def fit_predict(train: DataFrame, test: DataFrame, features: list[str], label: str, out: str, kind: str = "mean", quantile: float | None = None) -> DataFrame:
-    """Fit on ``train``, add ``out`` to ``test``.  ``kind``: mean, huber or risk (probability of 1)."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.regression import GBTRegressor, LinearRegression
-
-    fitted = medians(train, features)
-    train, names = with_missing_flags(train, features)
-    test, _ = with_missing_flags(test, features)
-    columns = features + names
-    train, test = (_assembled(impute(x, features, fitted), columns) for x in (train, test))
-    options = {"featuresCol": "__x", "labelCol": label}
-    if kind == "risk":
-        if train.select(label).distinct().count() < 2:
-            return test.drop("__x", *names).crossJoin(F.broadcast(train.agg(F.coalesce(F.avg(label), F.lit(0.0)).alias(out))))
-        model = GBTClassifier(**options, maxIter=TREES, maxDepth=DEPTH, seed=7, predictionCol="__c").fit(train)
-        return model.transform(test).withColumn(out, vector_to_array("probability")[1]).drop("__x", "probability", "__c", "rawPrediction", *names)
-    if kind == "huber":
-        model = LinearRegression(**options, loss="huber", maxIter=30, regParam=0.001, predictionCol=out).fit(train)
-    else:
-        model = GBTRegressor(**options, maxIter=TREES, maxDepth=DEPTH, seed=7, predictionCol=out).fit(train)
-    scored = model.transform(test).drop("__x", *names)
+def run_of(kind: str = "mean", quantile: float | None = None, **options) -> Run:
+    """The objective: a quantile if one is given, else ``kind``: mean, huber or risk (probability of 1)."""
     if quantile is not None:
-        over = model.transform(train).agg(F.percentile(F.col(label) - F.col(out), quantile).alias("__s"))
-        scored = scored.crossJoin(F.broadcast(over)).withColumn(out, F.col(out) + F.col("__s")).drop("__s")
-    return scored
-
-
-def out_of_fold(x: DataFrame, fold: str, folds: int, features: list[str], label: str, out: str, **options) -> DataFrame:
-    """Each row scored by a model of the other folds."""
-    parts = []
-    for i in range(folds):
-        train, test = x.where(F.col(fold) != i), x.where(F.col(fold) == i)
-        parts.append(fit_predict(train, test, features, label, out, **options))
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
-    return scored
+        return Run("quantile", quantile, **options)
+    return Run("logistic" if kind == "risk" else kind, **options)
+
+
+def fit_predict(
+    train: DataFrame, test: DataFrame, features: list[str], label: str, out: str, kind: str = "mean", quantile: float | None = None, id_: str = "id", rounds: int = ROUNDS
+) -> DataFrame:
+    """Fit on ``train``, add ``out`` to ``test``; ids are unique longs."""
+    columns = [id_, label, *features]
+    known = train.select(*columns, F.lit(1).alias("__fold"))
+    new = test.select(id_, F.lit(None).cast("double").alias(label), *features, F.lit(None).cast("int").alias("__fold"))
+    scores = boosted(known.unionByName(new), id_, label, features, [run_of(kind, quantile)], ["__fold"], 1, "__p", rounds, DEPTH)
+    return test.join(scores.select(id_, F.get("__p", F.lit(0)).alias(out)), id_)
+
+
+def out_of_fold(
+    x: DataFrame,
+    fold: str | list[str],
+    folds: int,
+    features: list[str],
+    label: str,
+    out: str,
+    kind: str = "mean",
+    quantile: float | None = None,
+    id_: str = "id",
+    rounds: int = ROUNDS,
+) -> DataFrame:
+    """Each row scored by models of the other folds: the mean over seeds, where ``fold`` names a column for each.
+
+    Ids are unique longs.  Rows without a fold train nothing and are scored by all models.
+    """
+    seeds = [fold] if isinstance(fold, str) else fold
+    scores = boosted(x, id_, label, features, [run_of(kind, quantile)], seeds, folds, "__p", rounds, DEPTH)
+    return x.join(scores.select(id_, F.get("__p", F.lit(0)).alias(out)), id_)
 
 
 def ensemble_mean(runs: list[DataFrame], id_: str, column: str) -> DataFrame:
@@ -120,7 +109,7 @@ def eligible_within(scored: DataFrame, base: float, budget: float) -> DataFrame:
 
 def best_within(scored: DataFrame, base: float, budget: float) -> DataFrame:
     """The eligible choice with the highest roi_mean (to 4 places), then the lowest wMAPE, q1_mape and choice."""
-    return eligible_within(scored, base, budget).orderBy(F.desc(F.bround("roi_mean", 4)), "wmape", "q1_mape", "choice").limit(1)
+    return eligible_within(scored, base, budget).orderBy(F.desc(F.bround("roi_mean", 4)), *[c for c in ("wmape", "q1_mape", "choice") if c in scored.columns]).limit(1)
 
 
 def top_within(scored: DataFrame, base: float, budget: float, most: int = 8) -> DataFrame:
@@ -135,13 +124,22 @@ def pick_strategy(roi: dict[str, float], base: str, residual: str, fusion: str)
     return residual if roi[residual] > roi[base] else base
 
 
-def search(x: DataFrame, fold: str, folds: int, label: str, configs: dict[str, list[str]], **options) -> list[tuple[str, float]]:
-    """(name, mean absolute out-of-fold error) of each set of features, best first."""
-    out = []
-    for name, features in configs.items():
-        scored = out_of_fold(x, fold, folds, features, label, "__p", **options)
-        out.append((name, scored.agg(F.avg(F.abs(F.col(label) - F.col("__p")))).first()[0]))
-    return sorted(out, key=lambda r: (r[1], r[0]))
+def search(x: DataFrame, fold: str, folds: int, label: str, configs: dict[str, Run], features: list[str], id_: str = "id", rounds: int = ROUNDS) -> list[tuple[str, float]]:
+    """(name, mean absolute out-of-fold error) of each configuration, best first; all are fitted in the same jobs."""
+    scores = boosted(x, id_, label, features, list(configs.values()), [fold], folds, "__p", rounds, DEPTH)
+    errors = [F.avg(F.abs(F.col(label) - F.get("__p", F.lit(i)))).alias(f"e{i}") for i in range(len(configs))]
+    row = x.select(id_, label).join(scores, id_).agg(*errors).first()
+    return sorted(zip(configs, row), key=lambda r: (r[1], r[0]))
+
+
+def tune_residual(x: DataFrame, actual: str, base_log: str, residual: str, alphas: list[float], caps: list[float], out: str) -> DataFrame:
+    """base_log plus the capped share of ``residual`` with the lowest wMAPE; share 0 leaves the base as it is."""
+    from larkspur.operators.calibrate import gated_residual, residual_grid
+
+    best = residual_grid(x, actual, base_log, residual, alphas, caps).orderBy("wmape", "alpha", "cap").first()
+    if best is None or best["alpha"] == 0.0:
+        return x.withColumn(out, F.col(base_log))
+    return x.withColumn(out, gated_residual(base_log, residual, best["alpha"], best["cap"]))
 
 
 def fuse(base: DataFrame, key: str, parts: list[DataFrame], train: DataFrame) -> DataFrame:
@@ -207,20 +205,79 @@ def truncated_svd(x: DataFrame, id_: str, vector: str, k: int) -> DataFrame:
     return project(x, id_, vector, right_axes(x, vector, k))
 
 
+def _blocks_of(weights: DataFrame, id_: str) -> tuple[list[str], DataFrame]:
+    """The terms in order (a bounded vocabulary) and per id its (place, weight) pairs, stored."""
+    terms = [r["term"] for r in weights.select("term").distinct().orderBy("term").collect()]
+    places = weights.sparkSession.createDataFrame(list(enumerate(terms)), "i int, term string")
+    rows = weights.join(F.broadcast(places), "term").groupBy(id_).agg(F.collect_list("i").alias("i"), F.collect_list("weight").alias("w"))
+    return terms, stored(rows, "term-rows")
+
+
+def term_axes(weights: DataFrame, id_: str, k: int, passes: int = 5, seed: int = 7) -> DataFrame:
+    """(term, axis): the k leading right singular vectors of a sparse (id, term, weight) table, uncentred.
+
+    Randomised subspace iteration: each pass multiplies the rows' squares with a thin matrix, added up by task; the
+    driver holds that matrix (terms x (k + 10)), whatever the number of rows.
+    """
+    import numpy as np
+    import pandas as pd
+
+    spark = weights.sparkSession
+    if weights.isEmpty():
+        return spark.createDataFrame([], "term string, axis array<double>")
+    terms, rows = _blocks_of(weights, id_)
+    size = len(terms)
+    width, part = min(size, k + 10), 512
+
+    def times(q):
+        shared = spark.sparkContext.broadcast(q)
+
+        def add(batches):
+            q, total = shared.value, np.zeros((size, width))
+            for pdf in batches:
+                for at in range(0, len(pdf), part):
+                    dense = np.zeros((min(part, len(pdf) - at), size))
+                    for n, (i, w) in enumerate(zip(pdf["i"].iloc[at : at + part], pdf["w"].iloc[at : at + part])):
+                        dense[n, i] = w
+                    total += dense.T @ (dense @ q)
+            yield pd.DataFrame({"b": np.arange(0, size, part) // part, "v": [total[a : a + part].tobytes() for a in range(0, size, part)]})
+
+        def together(pdf):
+            return pd.DataFrame({"b": [pdf["b"].iloc[0]], "v": [np.sum([np.frombuffer(v) for v in pdf["v"]], axis=0).tobytes()]})
+
+        parts = rows.select("i", "w").mapInPandas(add, "b int, v binary").groupBy("b").applyInPandas(together, "b int, v binary").orderBy("b").collect()
+        shared.destroy()
+        return np.concatenate([np.frombuffer(r["v"]).reshape(-1, width) for r in parts])
+
+    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, width)))[0]
+    for _ in range(passes if width < size else 1):
+        q = np.linalg.qr(times(q))[0]
+    small = q.T @ times(q)
+    values, inner = np.linalg.eigh((small + small.T) / 2)
+    axes = q @ inner[:, np.argsort(-values)[: min(k, size)]]
+    return spark.createDataFrame([(t, a) for t, a in zip(terms, axes.tolist())], "term string, axis array<double>")
+
+
+def term_scores(weights: DataFrame, id_: str, axes: DataFrame) -> DataFrame:
+    """(id, scores): rows of this or another table along the axes of :func:`term_axes`."""
+    import numpy as np
+    import pandas as pd
+
+    fitted = axes.orderBy("term").collect()  # a bounded vocabulary
+    if not fitted:
+        return weights.select(id_, F.array().cast("array<double>").alias("scores")).limit(0)
+    spark = weights.sparkSession
+    places = spark.createDataFrame([(i, r["term"]) for i, r in enumerate(fitted)], "i int, term string")
+    rows = weights.join(F.broadcast(places), "term").groupBy(id_).agg(F.collect_list("i").alias("i"), F.collect_list("weight").alias("w"))
+    shared = spark.sparkContext.broadcast(np.array([r["axis"] for r in fitted]))
+
+    def score(batches):
+        for pdf in batches:
+            yield pd.DataFrame({id_: pdf[id_], "scores": [np.asarray(w) @ shared.value[i] for i, w in zip(pdf["i"], pdf["w"])]})
+
+    return rows.mapInPandas(score, f"`{id_}` {dict(weights.dtypes)[id_]}, scores array<double>")
+
+
 def term_svd(weights: DataFrame, id_: str, k: int) -> DataFrame:
     """(id, scores): uncentred SVD scores of a sparse (id, term, weight) table; its vocabulary is bounded."""
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    places = {r["term"]: i for i, r in enumerate(weights.select("term").distinct().orderBy("term").collect())}
-    if not places:
-        return weights.select(id_, F.array().cast("array<double>").alias("scores"))
-    terms = weights.sparkSession.createDataFrame(list(places.items()), "term string, i int")
-    rows = weights.join(F.broadcast(terms), "term").groupBy(id_).agg(F.array_sort(F.collect_list(F.struct("i", "weight"))).alias("v"))
-    size = len(places)
-    matrix = RowMatrix(rows.select("v").rdd.map(lambda r: Vectors.sparse(size, [x["i"] for x in r["v"]], [x["weight"] for x in r["v"]])))
-    axes = matrix.computeSVD(min(k, size)).V.toArray().tolist()
-    table = weights.sparkSession.createDataFrame([(t, axes[i]) for t, i in places.items()], "term string, axis array<double>")
-    long = weights.join(F.broadcast(table), "term").select(id_, "weight", F.posexplode("axis").alias("j", "x"))
-    sums = long.groupBy(id_, "j").agg(F.sum(F.col("weight") * F.col("x")).alias("s"))
-    return sums.groupBy(id_).agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "s"))), lambda e: e["s"]).alias("scores"))
+    return term_scores(weights, id_, term_axes(weights, id_, k))

@@ -1,44 +1,90 @@
-"""Queries: out-of-fold models.  Learned values are beyond SQL; tests check their invariants."""
+"""Queries: out-of-fold models.  Learned values are beyond SQL; tests hold them against plain fits and invariants."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from larkspur.functions.exprs import fold_of
 from larkspur.operators import calibrate, learn
 from larkspur.plans.registry import query
 from larkspur.sources.views import photos, predictions, table, texts
 
 INPUTS = ["area", "bedrooms", "bathrooms", "tax", "listing_price", "photos", "age"]
-FOLDS = 3
+FOLDS, SEEDS = 5, 3
+FOLD_COLUMNS = [f"fold{i}" for i in range(SEEDS)]
+COMPONENTS = 8  # of the texts that join the tabular columns
+# The shares and caps of a residual that are tried.
+ALPHAS, CAPS = [0.0, 0.25, 0.5, 0.75, 1.0], [0.03, 0.05, 0.08]
 
 
 def _rows(spark, sf_dir):
-    return predictions(spark, sf_dir).select("listing_id", "log_price", "price", "pred", *INPUTS, (F.col("fold") % FOLDS).alias("fold"))
+    x = predictions(spark, sf_dir).select("listing_id", "log_price", "price", "pred", "pred_log", "fold", *INPUTS)
+    return x.withColumns({c: fold_of("listing_id", FOLDS, seed) for seed, c in enumerate(FOLD_COLUMNS)})
 
 
 @query("oof_gbt")
 def oof_gbt(spark, sf_dir):
-    out = learn.out_of_fold(_rows(spark, sf_dir), "fold", FOLDS, INPUTS, "log_price", "oof", quantile=0.35)
-    return out.select("listing_id", "fold", "log_price", "oof")
+    out = learn.out_of_fold(_rows(spark, sf_dir), FOLD_COLUMNS, FOLDS, INPUTS, "log_price", "oof", quantile=0.35, id_="listing_id")
+    return out.select("listing_id", *FOLD_COLUMNS, "log_price", "oof")
 
 
 @query("residual_oof")
 def residual_oof(spark, sf_dir):
-    x = _rows(spark, sf_dir).withColumn("residual", F.col("log_price") - F.log1p("pred"))
-    out = learn.out_of_fold(x, "fold", FOLDS, INPUTS, "residual", "res", kind="huber")
-    return out.select("listing_id", calibrate.gated_residual(F.log1p("pred"), "res", 0.6, 0.2).alias("combined"))
+    x = _rows(spark, sf_dir).withColumn("residual", F.col("log_price") - F.col("pred_log"))
+    out = learn.out_of_fold(x, FOLD_COLUMNS, FOLDS, INPUTS, "residual", "res", kind="huber", id_="listing_id")
+    return out.select("listing_id", calibrate.gated_residual("pred_log", "res", 0.6, 0.2).alias("combined"))
 
 
 @query("edge_crossfit")
 def edge_crossfit(spark, sf_dir):
     x = _rows(spark, sf_dir).withColumns(calibrate.edge_features("pred", "tax", "listing_price", "area")).withColumns(calibrate.edge_targets("pred", "log_price"))
     names = ["edge_base_log", "edge_log_tax", "edge_log_listing", "edge_log_area"]
-    risk = learn.out_of_fold(x, "fold", FOLDS, names, "trap", "risk", kind="risk").select("listing_id", "price", "pred", "trap", "risk")
-    severity = learn.out_of_fold(x, "fold", FOLDS, names, "severity", "sev", kind="huber").select("listing_id", F.greatest("sev", F.lit(0.0)).alias("sev"))
-    out = risk.join(severity, "listing_id")
+    risk = learn.out_of_fold(x, "fold", FOLDS, names, "trap", "risk", kind="risk", id_="listing_id").select("listing_id", "price", "pred", "trap", "risk")
+    severity = learn.out_of_fold(x, "fold", FOLDS, names, "severity", "sev", kind="huber", id_="listing_id")
+    out = risk.join(severity.select("listing_id", F.greatest("sev", F.lit(0.0)).alias("sev")), "listing_id")
     return out.select("listing_id", "trap", "risk", "sev", calibrate.edge_cut("pred", "risk", "sev", 0.25, 0.5).alias("price_after"))
 
 
+def _fused(spark, sf_dir):
+    """Tabular rows with photo scalars and the leading axes of the texts (of the document with the listing's id)."""
+    from larkspur.operators import bundle, images
+
+    x = _rows(spark, sf_dir)
+    descriptions = texts(spark, sf_dir)
+    fitted = bundle.TextBundle.fit(descriptions, "doc_id", "description", k=COMPONENTS)
+    told = fitted.apply(descriptions, "doc_id", "description")
+    flags = told.select(F.col("doc_id").alias("listing_id"), F.col("band_score").cast("double").alias("band_score"))
+    scores, names = bundle.columns_of(told.withColumnRenamed("doc_id", "listing_id"), "listing_id", "scores", COMPONENTS, "text_")
+    pictures = images.scalars(photos(spark, sf_dir).where("ok = 1")).select("listing_id", "n_images", "type_entropy", "suffix_mean")
+    return learn.fuse(x, "listing_id", [pictures, flags, scores], x), ["n_images", "type_entropy", "suffix_mean"], ["band_score", *names]
+
+
+@query("fusion_oof")
+def fusion_oof(spark, sf_dir):
+    """One quantile model on all columns, out of fold."""
+    x, pictures, words = _fused(spark, sf_dir)
+    out = learn.out_of_fold(x, FOLD_COLUMNS, FOLDS, [*INPUTS, *pictures, *words], "log_price", "oof", quantile=0.35, id_="listing_id")
+    return out.select("listing_id", "log_price", "oof")
+
+
+@query("text_residual_oof")
+def text_residual_oof(spark, sf_dir):
+    """What the base leaves, predicted from texts out of fold; the best capped share is added, or none."""
+    x, _, words = _fused(spark, sf_dir)
+    x = x.withColumn("residual", F.col("log_price") - F.col("pred_log"))
+    out = learn.out_of_fold(x, FOLD_COLUMNS, FOLDS, words, "residual", "res", kind="huber", id_="listing_id")
+    return learn.tune_residual(out, "price", "pred_log", "res", ALPHAS, CAPS, "combined").select("listing_id", "pred_log", "res", "combined")
+
+
+@query("fusion_predict")
+def fusion_predict(spark, sf_dir):
+    """Models of the listings that have a listing price, applied to those that have none yet."""
+    x, pictures, words = _fused(spark, sf_dir)
+    columns = [c for c in [*INPUTS, *pictures, *words] if c != "listing_price"]
+    out = learn.fit_predict(x.where("listing_price is not null"), x.where("listing_price is null"), columns, "log_price", "p", quantile=0.35, id_="listing_id")
+    return out.select("listing_id", "p")
+
+
 @query("seed_ensemble", "SELECT o_orderkey, round((o_totalprice + o_totalprice * 1.1 + o_totalprice * 0.9) / 3, 4) AS pred FROM orders")
 def seed_ensemble(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
@@ -74,16 +120,40 @@ def fused_features(spark, sf_dir):
 
 @query("text_bundle_svd")
 def text_bundle_svd(spark, sf_dir):
-    from larkspur.operators import texts as ops
+    """The bundle at the reference's size: 5,000 terms, 256 axes."""
+    from larkspur.operators import bundle
+
+    x = texts(spark, sf_dir)
+    out = bundle.TextBundle.fit(x, "doc_id", "description").apply(x, "doc_id", "description")
+    return out.select("doc_id", "cheap_cues", "premium_cues", "band_score", "scores")
+
+
+@query("text_bundle_applied")
+def text_bundle_applied(spark, sf_dir):
+    """A bundle fitted on the English texts, stored, read again and applied to all."""
+    from larkspur.operators import bundle
+    from larkspur.sources.scans import scratch
 
     x = texts(spark, sf_dir)
-    flags = ops.cue_scores(ops.lexical_flags(x, "description")).select("doc_id", "cheap_cues", "premium_cues", "band_score")
-    scores = learn.term_svd(ops.tfidf(x, "doc_id", "description", most=500), "doc_id", 8)
-    return flags.join(scores, "doc_id", "left")
+    english = x.join(table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id"), "doc_id", "left_semi")
+    path = scratch(spark, "bundle")
+    bundle.TextBundle.fit(english, "doc_id", "description", k=32, record={"tag": "en"}).save(spark, path)
+    out = bundle.TextBundle.load(spark, path, tag="en").apply(x, "doc_id", "description")
+    return out.select("doc_id", "cheap_cues", "premium_cues", "scores")
+
+
+SETS = {"size": ("area", "bedrooms", "bathrooms"), "tax": ("tax", "area"), "listing": ("listing_price", "area", "age"), "all": tuple(INPUTS)}
+LOSSES = {
+    "mean": {}, "huber_0.1": {"loss": "huber", "delta": 0.1}, "huber_0.3": {"loss": "huber", "delta": 0.3},
+    **{f"q{t}": {"loss": "quantile", "tau": t} for t in (0.30, 0.35, 0.40, 0.45, 0.50)},
+    "slow": {"rate": 0.08}, "fast": {"rate": 0.3}, "leaves_100": {"least": 100},
+}
 
 
 @query("feature_search")
 def feature_search(spark, sf_dir):
+    """44 configurations (four sets of columns by eleven objectives), all fitted in the same jobs."""
     x = _rows(spark, sf_dir)
-    found = learn.search(x, "fold", 2, "log_price", {"size": ["area", "bedrooms"], "tax": ["tax"]}, kind="huber")
+    configs = {f"{a}-{b}": learn.Run(features=columns, **options) for a, columns in SETS.items() for b, options in LOSSES.items()}
+    found = learn.search(x, "fold", FOLDS, "log_price", configs, INPUTS, id_="listing_id", rounds=8)
     return spark.createDataFrame(found, "config string, mae double")
