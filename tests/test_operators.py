@@ -226,6 +226,9 @@ def test_best_choice_stays_within_the_budget(spark):
     rows = [(0.0, 1.0, 20.0), (1.0, 9.0, 20.5), (2.0, 2.00001, 20.2), (3.0, 2.0, 20.1)]
     x = spark.createDataFrame(rows, "choice double, roi_mean double, wmape double")
     assert learn.best_within(x, 0.0, 0.25).first().choice == 3.0
+    tied = spark.createDataFrame([(0.0, 1.0, 20.0, 5.0), (1.0, 2.0, 20.1, 9.0), (2.0, 2.00001, 20.1, 8.0)], "choice double, roi_mean double, wmape double, q1_mape double")
+    assert learn.best_within(tied, 0.0, 0.25).first().choice == 2.0
+    assert [r.choice for r in learn.top_within(x, 0.0, 0.5, 2).collect()] == [1.0, 2.0]
     assert learn.pick_strategy({"b": 1.0, "r": 2.0, "f": 2.0}, "b", "r", "f") == "f"
     assert learn.pick_strategy({"b": 1.0, "r": 1.0, "f": 0.5}, "b", "r", "f") == "b"
 
