@@ -119,8 +119,12 @@ def _sums(rows: DataFrame, of_batch, size: int) -> np.ndarray:
     return np.array([r["v"] for r in sorted(got, key=lambda r: r["i"])])
 
 
-def fit(train: DataFrame, label: str = "y") -> Model:
-    """``train``: the columns of STATS and a 0/1 label."""
+def fit(train: DataFrame, label: str = "y", calibrate: DataFrame | None = None) -> Model:
+    """``train``: the columns of STATS and a 0/1 label.
+
+    Scores are calibrated on ``calibrate`` (rows of the same columns), or on ``train`` where these rows
+    do not have both labels; where ``train`` lacks one, both tables are one.
+    """
     d = inputs(pd.DataFrame({k: [0.0] for k in STATS})).shape[1]
     rng = np.random.default_rng(SEED)
     directions = rng.normal(size=(d, FEATURES)) / np.sqrt(d) * 1.5
@@ -133,6 +137,8 @@ def fit(train: DataFrame, label: str = "y") -> Model:
     sums = _sums(train, moments, 4)
     p = 1 + d + FEATURES
     model.weights = np.zeros(p)
+    if calibrate is not None and (not len(sums) or sums[1, 0] in (0, sums[0, 0])):
+        return fit(train.unionByName(calibrate), label)
     if not len(sums):
         return model
     n, ones = sums[0, 0], sums[1, 0]
@@ -156,7 +162,8 @@ def fit(train: DataFrame, label: str = "y") -> Model:
         at = np.minimum(((raw - LOW) / (HIGH - LOW) * CELLS).astype(int), CELLS - 1)
         return np.vstack([np.bincount(at, v, CELLS) for v in (np.ones(len(y)), raw, y)])
 
-    count, raw, y = _sums(train, cells, 3)
+    sums = np.zeros((0, CELLS)) if calibrate is None else _sums(calibrate, cells, 3)
+    count, raw, y = sums if len(sums) and 0 < sums[2].sum() < sums[0].sum() else _sums(train, cells, 3)
     used = count > 0
     model.knots, model.values = pool_adjacent(raw[used] / count[used], y[used] / count[used], count[used])
     return model
@@ -178,6 +185,11 @@ def held_out(id_col: Column) -> Column:
     return F.pmod(F.crc32(id_col.cast("string")), F.lit(5)) == 0
 
 
+def calibrates(id_col: Column) -> Column:
+    """Labelled documents that calibrate the score: a quarter of those learned from, none of which fits the ridge."""
+    return F.pmod(F.crc32(id_col.cast("string")), F.lit(5)) == 1
+
+
 def classify(
     docs: DataFrame,
     labels: DataFrame,
@@ -195,8 +207,9 @@ def classify(
     slim = docs.select(F.col(id_col).alias("__id"), F.col(text_col), *[F.col(c).alias(k) for k, c in carried.items()])
     stats = materialize(with_text_stats(slim, text_col, ["__id", *carried]), "text-stats")
     marks = labels.select(F.col(id_col).alias("__of"), F.col(label_col).cast("double").alias("y")).where(F.col("y").isin(0.0, 1.0))
-    train = stats.where(~held_out(F.col("__id"))).join(marks, F.col("__id") == F.col("__of")).select(*STATS, "y")
-    model = fit(materialize(train, "quality-train"))
+    train = stats.where(~held_out(F.col("__id"))).join(marks, F.col("__id") == F.col("__of"))
+    train = materialize(train.select(*STATS, "y", calibrates(F.col("__id")).alias("__c")), "quality-train")
+    model = fit(train.where("not __c"), calibrate=train.where("__c"))
     scored = score(stats, model, ["__id", *carried])
     return scored.select(
         F.col("__id").alias(id_col),

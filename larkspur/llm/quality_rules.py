@@ -3,8 +3,13 @@
 Statistics of all documents are computed once.  Labelled rows are binned at quantiles; each
 growing step asks Spark for one histogram (statistic x bin x fold x label, a few thousand rows
 at any input size) and the driver adds the threshold with the best information gain.  A rule is
-cut back to the prefix that does best on the pruning fold, kept if it is precise enough there,
-and the rows it covers leave the training set.  The result is an ordered Spark conditional.
+cut back to the prefix that does best on the pruning fold.  Of the best rule that rejects and the best that
+keeps, the more precise one there is taken if it is precise enough, and the rows it covers leave
+the training set, so a rule is learned for the rows that those before it leave over and their order
+matters.  The result is an ordered Spark conditional that keeps what no rule covers.
+
+Bounds: at most ``max_rules`` (8) rules of at most ``max_tests`` (3) tests, thresholds between ``bins`` (64) quantiles,
+a precision of ``min_precision`` (0.9) and ``min_support`` (10) labelled rows for a rule.
 
 Defined results: null or empty text: all statistics 0, base_failed true; a table without
 labelled rows, or with one class only, learns no rule (every document that passes the base rule
@@ -61,11 +66,12 @@ class Test:
 
 @dataclass(frozen=True)
 class Rule:
-    """Documents that pass every test are rejected."""
+    """Documents that pass every test are rejected, or kept."""
 
     tests: tuple[Test, ...]
     precision: float
     support: int
+    keeps: bool = False
 
     def column(self) -> Column:
         out = F.lit(True)
@@ -82,29 +88,29 @@ class DecisionList:
         """True: keep.  The first rule that covers a row decides."""
         out = None
         for r in self.rules:
-            out = F.when(r.column(), False) if out is None else out.when(r.column(), False)
+            out = F.when(r.column(), r.keeps) if out is None else out.when(r.column(), r.keeps)
         return F.lit(True) if out is None else out.otherwise(True)
 
     def __str__(self) -> str:
-        return "\n".join(f"reject if {' and '.join(map(str, r.tests))}" for r in self.rules) + "\nelse keep"
+        return "\n".join(f"{'keep' if r.keeps else 'reject'} if {' and '.join(map(str, r.tests))}" for r in self.rules) + "\nelse keep"
 
 
 def _bin(name: str, cuts: list[float]) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c < F.col(name)))
 
 
-def _histogram(rows: DataFrame, names: list[str]) -> dict:
-    """counts[name][bin] = [grow bad, grow good, prune bad, prune good]."""
+def _histogram(rows: DataFrame, names: list[str], keeps: bool) -> dict:
+    """counts[name][bin] = [grow bad, grow good, prune bad, prune good]; for a rule that keeps, good is what it looks for."""
     pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"b_{n}").alias("b")) for i, n in enumerate(names)]))
     counts = rows.select("prune", "bad", pairs.alias("p")).groupBy("p.f", "p.b", "prune", "bad").count().collect()
     out: dict = defaultdict(lambda: defaultdict(lambda: [0, 0, 0, 0]))
     for r in counts:
-        out[names[r["f"]]][r["b"]][2 * r["prune"] + (0 if r["bad"] else 1)] += r["count"]
+        out[names[r["f"]]][r["b"]][2 * r["prune"] + (0 if r["bad"] != keeps else 1)] += r["count"]
     return out
 
 
 def _gain(p0: int, n0: int, p1: int, n1: int) -> float:
-    """FOIL's gain of narrowing (p0 bad, n0 good) to (p1, n1)."""
+    """FOIL's gain of narrowing (p0 of the class looked for, n0 others) to (p1, n1)."""
     return p1 * (math.log2((p1 + 1) / (p1 + n1 + 2)) - math.log2((p0 + 1) / (p0 + n0 + 2)))
 
 
@@ -118,7 +124,7 @@ def learn(
     min_precision: float = 0.9,
     min_support: int = 10,
 ) -> DecisionList:
-    """Learn a list that rejects label 0 from ``stats`` (text statistics with labels)."""
+    """Learn a list that rejects label 0 and keeps label 1 from ``stats`` (text statistics with labels)."""
     features = ratios()
     names = list(features)
     rows = stats.where(F.col(label_col).isin(0, 1)).select(
@@ -141,21 +147,25 @@ def learn(
     found = DecisionList()
     left = binned
     while len(found.rules) < max_rules:
-        rule, inside = _grow(left, names, cuts, max_tests, min_precision, min_support)
-        if rule is None:
-            break
+        grown = [_grow(left, names, cuts, max_tests, min_precision, min_support, keeps) for keeps in (False, True)]
+        grown = [g for g in grown if g is not None]
+        if not any(not rule.keeps for rule, _ in grown):
+            break  # what is left is kept anyway
+        rule, inside = max(grown, key=lambda g: (round(g[0].precision, 3), not g[0].keeps))
         found.rules.append(rule)
         left = left.where(~inside)
+    while found.rules and found.rules[-1].keeps:
+        found.rules.pop()
     return found
 
 
-def _grow(left: DataFrame, names: list[str], cuts: dict, max_tests: int, min_precision: float, min_support: int):
+def _grow(left: DataFrame, names: list[str], cuts: dict, max_tests: int, min_precision: float, min_support: int, keeps: bool) -> tuple[Rule, Column] | None:
     tests: list[Test] = []
     conds: list[Column] = []
     tried: list[tuple[float, int, int]] = []  # pruning precision, support, tests used
     rows = left
     while len(tests) < max_tests:
-        counts = _histogram(rows, names)
+        counts = _histogram(rows, names, keeps)
         best = None
         for k, n in enumerate(names):
             total = [sum(c[j] for c in counts[n].values()) for j in range(4)]
@@ -179,14 +189,14 @@ def _grow(left: DataFrame, names: list[str], cuts: dict, max_tests: int, min_pre
         rows = rows.where(conds[-1])
     # Prune: the shortest prefix among those with the best precision on the held-back fold.
     if not tried:
-        return None, None
+        return None
     precision, support, used = max(tried, key=lambda x: (round(x[0], 3), x[1], -x[2]))
     if precision < min_precision:
-        return None, None
+        return None
     inside = conds[0]
     for c in conds[1:used]:
         inside = inside & c
-    return Rule(tuple(tests[:used]), precision, support), inside
+    return Rule(tuple(tests[:used]), precision, support, keeps), inside
 
 
 def judge(

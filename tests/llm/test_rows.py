@@ -283,6 +283,93 @@ def test_rules_on_labels(spark, sf_dir):
     assert not got[got["base_failed"]]["kept"].any()
 
 
+def labelled(spark, sf_dir):
+    """Statistics with labels of the larger test table, as pandas."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/../sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    stats = textstats.with_text_stats(docs, "text", ["doc_id"])
+    crc = F.crc32(F.col("doc_id").cast("string"))
+    prune = F.pmod(F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit("-prune"))), F.lit(3)) == 0
+    return docs, labels, stats.join(labels, "doc_id").withColumns({"rest": F.pmod(crc, F.lit(5)), "prune": prune}).orderBy("doc_id").toPandas()
+
+
+def test_classifier_equals_a_direct_solve(spark, sf_dir):
+    import numpy as np
+
+    Q = quality_classifier
+    docs, labels, pdf = labelled(spark, sf_dir)
+    learn, cal = pdf[pdf["rest"] > 1], pdf[pdf["rest"] == 1]
+    x, y = Q.inputs(learn), learn["quality"].to_numpy(float)
+    rng = np.random.default_rng(Q.SEED)
+    directions = rng.normal(size=(x.shape[1], Q.FEATURES)) / np.sqrt(x.shape[1]) * 1.5
+    phases = rng.uniform(0, 2 * np.pi, Q.FEATURES)
+
+    def waves(rows):
+        z = np.clip((Q.inputs(rows) - x.mean(0)) / np.sqrt(np.maximum(x.var(0), 1e-9)), -6, 6)
+        return np.column_stack([np.ones(len(z)), z, np.cos(z @ directions + phases) * np.sqrt(2 / Q.FEATURES)])
+
+    z = waves(learn)
+    ridge = Q.RIDGE * len(learn) * np.eye(z.shape[1])
+    ridge[0, 0] = 0
+    weights = np.linalg.lstsq(z.T @ z + ridge, z.T @ y, rcond=None)[0]
+    raw = lambda rows: np.clip(waves(rows) @ weights, Q.LOW, Q.HIGH)
+    at = np.minimum(((raw(cal) - Q.LOW) / (Q.HIGH - Q.LOW) * Q.CELLS).astype(int), Q.CELLS - 1)
+    cells = sorted(set(at))
+    n, s, t = (np.array([v[at == c].sum() for c in cells]) for v in (np.ones(len(cal)), raw(cal), cal["quality"].to_numpy(float)))
+    mean = lambda a, b: t[a : b + 1].sum() / n[a : b + 1].sum()
+    iso = np.array([max(min(mean(a, b) for b in range(i, len(cells))) for a in range(i + 1)) for i in range(len(cells))])
+    pools = [np.flatnonzero(np.abs(iso - v) < 1e-12) for v in sorted(set(np.round(iso, 12)))]
+    knots = [s[p].sum() / n[p].sum() for p in pools]
+    want = dict(zip(pdf["doc_id"], np.clip(np.interp(raw(pdf), knots, [iso[p[0]] for p in pools]), 0, 1)))
+    got = {r.doc_id: r.score for r in Q.classify(docs, labels).collect()}
+    assert max(abs(got[d] - v) for d, v in want.items()) < 1e-6
+
+
+def test_rules_equal_a_plain_reading_and_a_plain_search(spark, sf_dir):
+    import math
+
+    import numpy as np
+
+    docs, labels, pdf = labelled(spark, sf_dir)
+    out, found = quality_rules.judge(docs, labels)
+    names = list(quality_rules.ratios())
+    frame = textstats.with_text_stats(docs, "text", ["doc_id"]).withColumns(quality_rules.ratios()).toPandas()
+
+    def verdict(row):
+        if row["n_words"] < 10 or 100 * row["n_repeat_words"] > 20 * row["n_words"]:
+            return False
+        for rule in found.rules:
+            if all((row[t.name] > t.cut) == t.above for t in rule.tests):
+                return rule.keeps
+        return True
+
+    assert {r.doc_id: r.kept for r in out.collect()} == {r["doc_id"]: verdict(r) for _, r in frame.iterrows()}
+    # The first test of the first rule has the largest gain of all thresholds on the growing fold.
+    train = frame.merge(pdf[["doc_id", "quality", "prune"]], on="doc_id")
+    grow, first = train[~train["prune"]], found.rules[0]
+    hit = (grow["quality"] == (1 if first.keeps else 0)).to_numpy()
+
+    def gain(inside):
+        p, n = int((hit & inside).sum()), int((~hit & inside).sum())
+        return p * (math.log2((p + 1) / (p + n + 2)) - math.log2((hit.sum() + 1) / (len(hit) + 2)))
+
+    best = 0.0
+    for name in names:
+        v = grow[name].to_numpy()
+        for cut in np.unique(np.quantile(train[name], [i / 64 for i in range(1, 64)], method="inverted_cdf")):
+            best = max(best, *(gain(x) for x in (v <= cut, v > cut)))
+    t = first.tests[0]
+    v = grow[t.name].to_numpy()
+    assert gain((v > t.cut) == t.above) >= 0.97 * best
+
+
+def test_order_of_rules_decides(spark):
+    x = spark.createDataFrame([(1.0,), (3.0,), (9.0,)], "v double")
+    low, mid = quality_rules.Test("v", False, 2.0), quality_rules.Test("v", False, 5.0)
+    keep, reject = quality_rules.Rule((low,), 1.0, 1, True), quality_rules.Rule((mid,), 1.0, 1)
+    kept = lambda rules: [r.k for r in x.select(quality_rules.DecisionList(rules).verdict().alias("k")).collect()]
+    assert kept([keep, reject]) == [True, False, True] and kept([reject, keep]) == [False, False, True]
+
+
 def test_rules_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     out, found = quality_rules.judge(X.documents(spark), none)
