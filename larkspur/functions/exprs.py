@@ -91,6 +91,12 @@ def normal(first: Column, second: Column) -> Column:
     return F.sqrt(-2 * F.ln(first)) * F.cos(2 * math.pi * second)
 
 
+def without_prefix(x: Column | str, prefix: str) -> Column:
+    """Text without ``prefix`` at its start; other texts as they are."""
+    c = col(x)
+    return F.when(F.startswith(c, F.lit(prefix)), F.substr(c, F.lit(len(prefix) + 1))).otherwise(c)
+
+
 def slug(x: Column | str) -> Column:
     """Lower-case letters and digits, other runs as one underscore, none at the ends."""
     return F.lower(F.regexp_replace(F.regexp_replace(col(x), "[^A-Za-z0-9]+", "_"), "^_+|_+$", ""))

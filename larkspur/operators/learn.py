@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.operators.boost import Run, boosted
+from larkspur.operators.quantiles import exact_quantiles
 from larkspur.sources.scans import stored
 
 ROUNDS = 30
@@ -17,7 +18,10 @@ DEPTH = 4
 
 
 def medians(x: DataFrame, columns: list[str]) -> DataFrame:
-    return x.agg(*[F.median(c).alias(f"__{c}") for c in columns])
+    """One row with the exact median of each column."""
+    found = exact_quantiles(x, {c: [0.5] for c in columns})
+    schema = ", ".join(f"`__{c}` double" for c in columns)
+    return x.sparkSession.createDataFrame([tuple(None if found[c] is None else found[c][0] for c in columns)], schema)
 
 
 def impute(x: DataFrame, columns: list[str], fitted: DataFrame | None = None) -> DataFrame:

@@ -29,7 +29,7 @@ def zone_quantile_encoding(spark, sf_dir):
         "o_orderkey", F.col("c_nationkey").alias("zone"), F.log1p("o_totalprice").alias("y"), F.col("o_totalprice").alias("p")
     )
     fitted, overall = encode.zone_quantiles(rows, "zone", "y")
-    out = encode.look_up(rows, F.broadcast(fitted), overall, ["zone"])
+    out = encode.look_up(rows, fitted, overall, ["zone"])
     out = encode.zone_ratios(out, "p", "p")
     rounded = [F.round(c, 6).alias(c) for c in ("q10", "q50", "q90", "log_spread")]
     return out.select("o_orderkey", "zone", "zone_rows", *rounded, F.round("tax_to_q50", 6).alias("price_to_q50"))
@@ -45,7 +45,7 @@ def zone_lookup_with_default(spark, sf_dir):
     train = table(spark, sf_dir, "customer").where("c_nationkey < 20").select(F.col("c_nationkey").alias("zone"), "c_acctbal")
     fitted, overall = encode.zone_quantiles(train, "zone", "c_acctbal")
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("zone"))
-    out = encode.look_up(rows, F.broadcast(fitted), overall, ["zone"])
+    out = encode.look_up(rows, fitted, overall, ["zone"])
     return out.select("s_suppkey", *[F.round(c, 6).alias(c) for c in ("q10", "q50", "q90")])
 
 
@@ -59,7 +59,7 @@ def zone_lookup_with_default(spark, sf_dir):
 def zone_photo_median(spark, sf_dir):
     rows = listings(spark, sf_dir)
     fitted = encode.zone_median(rows, "zone", "photos")
-    out = rows.join(F.broadcast(fitted), "zone", "left")
+    out = rows.join(fitted, "zone", "left")
     photos = F.greatest(F.coalesce("photos", F.lit(0.0)), F.lit(0.0))
     ratio = photos / F.greatest(F.coalesce("zone_median", "overall"), F.lit(1.0))
     return out.select("listing_id", F.round("zone_median", 6).alias("zone_median"), F.round(F.coalesce(ratio, F.lit(1.0)), 6).alias("photo_ratio"))

@@ -93,7 +93,7 @@ def soft_clip(spark, sf_dir):
     q = x.groupBy("zone").agg(F.percentile("log_price", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("q"))
     q10, q50, q90 = (F.get("q", F.lit(i)) for i in range(3))
     clipped = calibrate.soft_clip(F.col("pred_log"), calibrate.anchor(q50, "log_price"), q10, q90)
-    out = x.join(F.broadcast(q), "zone").select("listing_id", clipped.alias("p"))
+    out = x.join(q, "zone").select("listing_id", clipped.alias("p"))
     return out.select("listing_id", F.round("p", 6).alias("clipped"), F.round(calibrate.scale_price("p", 0.9), 6).alias("scaled"))
 
 

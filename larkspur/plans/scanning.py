@@ -14,7 +14,7 @@ from larkspur.streaming import events as streaming
 def csv_scan_pruned(spark, sf_dir):
     path = scans.scratch(spark, "orders-csv")
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice")).alias("o_totalprice"))
-    rows.write.option("header", True).csv(path)
+    scans.write_csv(rows, path)
     schema = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double"
     return scans.read_csv(spark, path, schema, ["o_orderkey", "o_totalprice"])
 
@@ -40,6 +40,6 @@ def stream_windowed_counts(spark, sf_dir):
     source = scans.scratch(spark, "events-stream")
     rows.write.parquet(source)
     schema = rows.schema.simpleString()[len("struct<") : -1].replace(":", " ")
-    plan = lambda x: streaming.windowed_counts(x, "1 day", "36500 days")
+    plan = lambda x: streaming.windowed_counts(x, "1 day", "2 days")
     out = streaming.run_to_end(spark, source, schema, plan, scans.scratch(spark, "events-out"), scans.scratch(spark, "events-state"))
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))

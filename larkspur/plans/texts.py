@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larkspur.functions.exprs import loose_number, slug, suffix_number
+from larkspur.functions.exprs import loose_number, slug, suffix_number, without_prefix
 from larkspur.operators import texts as ops
 from larkspur.plans.registry import query
 from larkspur.sources.views import TEXTS_SQL, table, texts
@@ -55,7 +55,7 @@ def suffix_parse(spark, sf_dir):
 )
 def slugify(spark, sf_dir):
     text = F.concat(F.col("p_type"), F.lit(" / "), F.col("p_brand"), F.lit("!"))
-    return table(spark, sf_dir, "part").select("p_partkey", slug(text).alias("slug"), F.regexp_replace(F.concat(F.lit("frac_"), "p_brand"), "^frac_", "").alias("bare"))
+    return table(spark, sf_dir, "part").select("p_partkey", slug(text).alias("slug"), without_prefix(F.concat(F.lit("frac_"), "p_brand"), "frac_").alias("bare"))
 
 
 VALUES = ["1.5", " Yes ", "no", "", "true", "n", "Y", "-2e3", "abc", "12 "]

@@ -59,6 +59,11 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: str, columns: l
     return out.select(*columns) if columns else out
 
 
+def write_csv(rows: DataFrame, path: str) -> None:
+    """CSV with a header that :func:`read_csv` reads back; NULL is an empty field, an empty text is quoted."""
+    rows.write.mode("overwrite").option("header", True).option("emptyValue", '""').csv(path)
+
+
 def read_chunks(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """All chunk files of a folder with the name of each row's chunk."""
     return read_csv(spark, folder, schema, tolerant=True).withColumn("chunk_file", F.element_at(F.split("_metadata.file_path", "/"), -1))

@@ -24,14 +24,15 @@ def sessions(events: DataFrame, gap: str, late: str) -> DataFrame:
 def run_to_end(spark: SparkSession, source: str, schema: str, plan: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, mode: str = "complete") -> DataFrame:
     """Read a folder of Parquet as a stream, apply ``plan``, write to a table in ``sink`` and return it.
 
-    ``checkpoint`` remembers which files are done: a second run handles new files only.
+    ``checkpoint`` remembers which files are done: a second run handles new files only.  In append mode
+    each batch has a folder of its own, so a batch that is repeated after a failure replaces what it left.
     """
     stream = plan(spark.readStream.schema(schema).parquet(source))
 
     def save(batch: DataFrame, number: int) -> None:
-        how = "overwrite" if mode == "complete" else "append"
-        batch.write.mode(how).parquet(sink)
+        batch.write.mode("overwrite").parquet(sink if mode == "complete" else f"{sink}/batch={number}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(save).start()
     query.awaitTermination()
-    return spark.read.parquet(sink)
+    out = spark.read.parquet(sink)
+    return out if mode == "complete" else out.drop("batch")
