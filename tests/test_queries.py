@@ -10,7 +10,7 @@ from larkspur.plans import registry
 
 registry.load()
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"oof_gbt", "residual_oof", "edge_crossfit"}
+SLOW = {"oof_gbt", "residual_oof", "edge_crossfit", "fusion_oof", "text_residual_oof", "feature_search"}  # test_boost.py holds what they are made of
 
 
 @pytest.fixture(scope="module")
