@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from larkspur.llm import exact_dedup, packing, pii, quality_classifier, quality_rules, textstats
+from larkspur.llm import exact_dedup, jaccard_join, packing, pii, quality_classifier, quality_rules, textstats
 from tests.llm import fixtures as X
 
 
@@ -386,3 +386,33 @@ def test_empty_tables(spark):
     assert _pieces(spark, e, 64) == []
     assert textstats.with_text_stats(e, "text", ["doc_id"]).count() == 0
     assert quality_rules.judge(e, spark.createDataFrame([], "doc_id long, quality int"))[0].count() == 0
+
+
+def test_very_long_texts(spark, tmp_path):
+    import random
+
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    base = " ".join(f"w{rng.randrange(50_000)}" for _ in range(200_000))  # 1.3 MB
+    rows = [(0, base), (1, base), (2, base.replace("w7 ", "x7 ")), (3, "short text of a few words"), (4, base + "\nmail a@b.c")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id long, quality int")
+    stats = textstats.with_text_stats(docs, "text", ["doc_id"])
+    assert {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in stats.collect()} == {i: X.word_stats(t) for i, t in rows}
+    assert all(0 <= r.score <= 1 for r in quality_classifier.classify(docs, labels).collect())
+    assert quality_rules.judge(docs, labels)[0].count() == 5
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_components(docs).collect()}
+    assert got == X.components(rows)
+    kept = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup.exact_dedup(docs).collect()}
+    assert kept == {0: (1, False), 1: (1, True), 2: (2, True), 3: (3, True), 4: (4, True)}
+    whole = {}
+    for r in _pieces(spark, docs, 1024):
+        whole[r.doc_id] = whole.get(r.doc_id, 0) + r.length
+        assert r.length <= 1024
+    assert len(whole) == 5 and whole[0] == whole[1] > 400_000
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        docs = stage(spark, docs, str(tmp_path))
+    left = X.components(rows[1:])  # one of the two equal texts goes first
+    assert {r.doc_id for r in docs.select("doc_id").distinct().collect()} == {i for i, (_, c) in left.items() if c == i}
