@@ -1,103 +1,136 @@
 """Nearest neighbours on the globe by growing rings of grid cells.
 
-A query row meets the reference rows of the cells around it by an equi-join.  Its k nearest are
-final when the k-th is nearer than anything outside the ring can be; other rows try a larger ring,
-and those that the largest does not settle meet all reference rows in blocks of bounded size.
-Ties are broken by the reference id.
+Rows at one place have the same distances, so places meet places: a place of the query meets the places of the reference in
+the cells around it by an equi-join, and a place of the reference shows the least ids that can be among k (ties are broken by
+the reference id).  The k nearest are final when the k-th is nearer than anything outside the ring can be; other places try a
+larger ring, and those that the largest does not settle meet all reference places.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.exprs import EARTH_KM, haversine_km
-from larkspur.operators.prefix import running_total
 from larkspur.sources.scans import stored
 
 KM_PER_DEGREE = math.pi * EARTH_KM / 180
-BLOCK = 2000  # query rows that are broadcast at once
+NEAR = "array<struct<km: double, rid: bigint, y: double>>"
 
 
 def _cells(x: DataFrame, size: float) -> DataFrame:
     return x.withColumns({"cx": F.floor(F.col("lat") / size).cast("long"), "cy": F.floor(F.col("lon") / size).cast("long")})
 
 
-def nearest(query: DataFrame, reference: DataFrame, k: int, exclude_self: bool, cell_degrees: float | None = None) -> DataFrame:
-    """(id, rid, y, km): up to k nearest reference rows of each query row.
+def _lists(query: DataFrame, reference: DataFrame, k: int, exclude_self: bool, cell_degrees: float | None = None) -> DataFrame:
+    """(g, id, near): the up to k nearest reference rows (km, rid, y) of the same group ``g``, nearest first.
 
-    ``query`` has id, lat, lon; ``reference`` id, lat, lon, y.  Missing coordinates are filled with
-    the reference's medians.  ``exclude_self`` leaves out the reference row with the query's id.
-    Cells hold about k rows if the reference is spread evenly; the size follows from its extent.
+    Missing coordinates are filled with the medians of the group's reference rows; groups without any are left out.
     """
-    known = reference.agg(
-        F.median("lat").alias("lat"), F.median("lon").alias("lon"), F.count(F.lit(1)).alias("n"),
+    spark, most = query.sparkSession, k + int(exclude_self)  # of the nearest, one can be the row itself
+    known = [r for r in reference.groupBy("g").agg(
+        F.median("lat").alias("mlat"), F.median("lon").alias("mlon"),
         F.min("lat").alias("a"), F.max("lat").alias("b"), F.min("lon").alias("c"), F.max("lon").alias("d"),
-    ).first()
-    schema = "id long, rid long, y double, km double"
-    if not known["n"] or known["lat"] is None:
-        return query.sparkSession.createDataFrame([], schema)
-    high, wide = max(known["b"] - known["a"], 1e-6), max(known["d"] - known["c"], 1e-6)
-    size = cell_degrees or max(1e-4, math.sqrt(high * wide * (k + 1) / known["n"]))
-    fill = lambda x: x.withColumns({c: F.coalesce(F.col(c), F.lit(known[c])) for c in ("lat", "lon")})
-    ref = _cells(fill(reference), size).select(F.col("id").alias("rid"), F.col("lat").alias("rlat"), F.col("lon").alias("rlon"), "y", "cx", "cy")
-    left, done, ring = stored(_cells(fill(query.select("id", "lat", "lon")), size), "knn-left"), [], 1
+    ).collect() if r["mlat"] is not None and r["mlon"] is not None]
+    if not known:
+        return spark.createDataFrame([], f"g int, id long, near {NEAR}")
+    middle = F.broadcast(spark.createDataFrame([(r["g"], r["mlat"], r["mlon"]) for r in known], "g int, mlat double, mlon double"))  # a row for each group
+    fill = lambda x: x.join(middle, "g").withColumns({c: F.coalesce(F.col(c), F.col(f"m{c}")) for c in ("lat", "lon")}).drop("mlat", "mlon")
+    first = F.row_number().over(Window.partitionBy("g", "lat", "lon").orderBy("id"))
+    least = fill(reference.select("g", "id", "lat", "lon", "y")).withColumn("place", first).where(F.col("place") <= most)
+    rows = F.array_sort(F.collect_list(F.struct(F.col("id").alias("rid"), "y"))).alias("rows")
+    spots = stored(least.groupBy("g", F.col("lat").alias("rlat"), F.col("lon").alias("rlon")).agg(rows), "knn-spots")
+    high, wide = max(max(r["b"] - r["a"] for r in known), 1e-6), max(max(r["d"] - r["c"] for r in known), 1e-6)
+    n = max(r[0] for r in spots.groupBy("g").agg(F.sum(F.size("rows"))).select(F.col("sum(size(rows))")).collect())
+    size = cell_degrees or max(1e-4, math.sqrt(high * wide * (k + 1) / n))
+    ref = _cells(spots.withColumns({"lat": F.col("rlat"), "lon": F.col("rlon")}), size).drop("lat", "lon")
+    asked = fill(query.select("g", "id", "lat", "lon"))
+    left = stored(_cells(asked.select("g", "lat", "lon").distinct(), size).withColumn("p", F.monotonically_increasing_id()), "knn-left")
+    done, ring = [], 1
     while True:
         if ring * size > 2 * max(high, wide) + size * 2:
-            done += _by_blocks(left, ref, k, exclude_self)
+            done.append(_by_parts(left, spots, most))
             break
         step = F.explode(F.sequence(F.lit(-ring), F.lit(ring)))
         around = left.withColumn("dx", step).withColumn("dy", step).withColumns({"cx": F.col("cx") + F.col("dx"), "cy": F.col("cy") + F.col("dy")})
-        best = stored(_best(around.join(ref, ["cx", "cy"]), k, exclude_self), "knn-near")
         # Nothing outside the ring is nearer than its width, which is least along a parallel.
         reach = F.lit(ring * size * KM_PER_DEGREE) * F.cos(F.radians(F.least(F.abs(F.col("lat")) + (ring + 1) * size, F.lit(89.9))))
-        settled = best.where((F.col("place") == k) & (F.col("km") < reach)).select("id")
-        done.append(best.join(settled, "id", "left_semi").select("id", "rid", "y", "km"))
-        left = stored(left.join(settled, "id", "left_anti"), "knn-left")
+        final = (F.size("near") == most) & (F.element_at("near", -1)["km"] < reach)
+        settled = stored(_best(around.join(ref, ["g", "cx", "cy"]), most).where(final), "knn-near")
+        done.append(settled)
+        left = stored(left.join(settled.select("p"), "p", "left_anti"), "knn-left")
         if left.isEmpty():
             break
         ring *= 4
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out
+    found = F.col("near")
+    if exclude_self:
+        found = F.slice(F.filter(found, lambda r: r["rid"] != F.col("id")), 1, k)
+    return asked.join(out.drop("p"), ["g", "lat", "lon"]).select("g", "id", found.alias("near"))
 
 
-def _best(near: DataFrame, k: int, exclude_self: bool) -> DataFrame:
-    """The k nearest of the joined rows; Spark keeps k per query row and task before the shuffle."""
-    if exclude_self:
-        near = near.where(F.col("id") != F.col("rid"))
-    near = near.withColumn("km", F.round(haversine_km("lat", "lon", "rlat", "rlon"), 9))
-    return near.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("km", "rid"))).where(F.col("place") <= k)
+def _best(pairs: DataFrame, most: int) -> DataFrame:
+    """(p, g, lat, lon, near): the nearest rows of the joined places; Spark keeps ``most`` per place and task before the shuffle."""
+    km = F.round(haversine_km("lat", "lon", "rlat", "rlon"), 9)
+    each = pairs.withColumn("km", km).select("p", "g", "lat", "lon", "km", F.explode("rows").alias("r")).select("p", "g", "lat", "lon", "km", "r.rid", "r.y")
+    each = each.withColumn("place", F.row_number().over(Window.partitionBy("p").orderBy("km", "rid"))).where(F.col("place") <= most)
+    near = F.array_sort(F.collect_list(F.struct("km", "rid", "y"))).cast(NEAR).alias("near")
+    return each.groupBy("p").agg(F.first("g").alias("g"), F.first("lat").alias("lat"), F.first("lon").alias("lon"), near)
+
+
+def _by_parts(left: DataFrame, spots: DataFrame, most: int) -> DataFrame:
+    """Places that no ring settled (fewer rows than wanted in reach) against all reference places, dealt into parts."""
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = spots.withColumn("part", F.pmod(F.xxhash64("rlat", "rlon"), F.lit(parts)).cast("int"))
+    return _best(each.join(dealt, ["g", "part"]), most)
+
+
+def nearest(query: DataFrame, reference: DataFrame, k: int, exclude_self: bool, cell_degrees: float | None = None) -> DataFrame:
+    """(id, rid, y, km): up to k nearest reference rows of each query row.
 
+    ``query`` has id, lat, lon; ``reference`` id, lat, lon, y.  Missing coordinates are filled with
+    the reference's medians.  ``exclude_self`` leaves out the reference row with the query's id.
+    Cells hold about k rows if the reference is spread evenly; the size follows from its extent.
+    """
+    one = F.lit(0).alias("g")
+    lists = _lists(query.select(one, "id", "lat", "lon"), reference.select(one, "id", "lat", "lon", "y"), k, exclude_self, cell_degrees)
+    return lists.select("id", F.explode("near").alias("r")).select("id", "r.rid", "r.y", "r.km")
 
-def _by_blocks(left: DataFrame, ref: DataFrame, k: int, exclude_self: bool) -> list[DataFrame]:
-    """Query rows that no ring settled (fewer than k rows in reach) against all reference rows, BLOCK at a time."""
-    placed = running_total(left.drop("cx", "cy"), "id", 1, "__n").withColumn("__block", F.expr(f"__n div {BLOCK}"))
-    placed = stored(placed.drop("__n"), "knn-blocks")
-    count = placed.agg(F.max("__block")).first()[0]
-    out = []
-    for i in range(0 if count is None else count + 1):
-        block = F.broadcast(placed.where(F.col("__block") == i).drop("__block"))  # BLOCK rows at most
-        out.append(_best(ref.drop("cx", "cy").join(block), k, exclude_self).select("id", "rid", "y", "km"))
-    return out
+
+def _mean(near: Column | str) -> Column:
+    """The mean of the known y of a list, or NULL."""
+    y = F.filter(F.transform(near, lambda r: r["y"]), lambda v: v.isNotNull())
+    return F.aggregate(y, F.lit(0.0), lambda s, v: s + v) / F.nullif(F.size(y), F.lit(0))
+
+
+def _means(query: DataFrame, reference: DataFrame, k: int, exclude_self: bool, **options) -> DataFrame:
+    """(g, id, knn) of the rows of ``query``; their ids are unique in a group."""
+    near = _lists(query, reference, k, exclude_self, **options).select("g", "id", _mean("near").alias("m"))
+    overall = F.broadcast(reference.groupBy("g").agg(F.avg("y").alias("o")))  # a row for each group
+    out = query.select("g", "id").join(near, ["g", "id"], "left").join(overall, "g", "left")
+    return out.select("g", "id", F.coalesce("m", "o", F.lit(0.0)).alias("knn"))
 
 
 def mean_target(query: DataFrame, reference: DataFrame, k: int = 20, exclude_self: bool = False, **options) -> DataFrame:
     """(id, knn): mean y of the k nearest; the mean of all where a row has no neighbour, 0 without reference."""
-    near = nearest(query, reference, k, exclude_self, **options).groupBy("id").agg(F.avg("y").alias("m"))
-    overall = F.broadcast(reference.agg(F.avg("y").alias("g")))
-    out = query.select("id").join(near, "id", "left").crossJoin(overall)
-    return out.select("id", F.coalesce("m", "g", F.lit(0.0)).alias("knn"))
+    one = F.lit(0).alias("g")
+    return _means(query.select(one, "id", "lat", "lon"), reference.select(one, "id", "lat", "lon", "y"), k, exclude_self, **options).select("id", "knn")
 
 
 def fold_safe(x: DataFrame, fold: str, folds: int, k: int = 20) -> DataFrame:
     """(id, knn, knn_train): mean target of the k nearest rows of the other folds, and, for the row as a training
-    row of its own fold's encoder, of the k nearest others of all folds (itself left out)."""
-    parts = None
-    for i in range(folds):
-        one = mean_target(x.where(F.col(fold) == i), x.where(F.col(fold) != i), k)
-        parts = one if parts is None else parts.unionByName(one)
-    return parts.join(mean_target(x, x, k, exclude_self=True).withColumnRenamed("knn", "knn_train"), "id")
+    row of its own fold's encoder, of the k nearest others of all folds (itself left out).
+
+    Both are found in the same jobs: group i has the rows outside fold i as reference, group -1 all rows.
+    """
+    every = F.array(F.lit(-1), *[F.lit(i) for i in range(folds)])
+    own = F.col(fold).cast("int")
+    query = x.select(F.explode(F.when(own.between(0, folds - 1), F.array(own, F.lit(-1))).otherwise(F.array(F.lit(-1)))).alias("g"), "id", "lat", "lon")
+    reference = x.select(F.explode(F.filter(every, lambda g: (g == -1) | (g != own))).alias("g"), "id", "lat", "lon", "y")
+    found = stored(_means(query, reference, k, True), "knn-folds")
+    return found.where("g >= 0").select("id", "knn").join(found.where("g = -1").select("id", F.col("knn").alias("knn_train")), "id")

@@ -260,3 +260,23 @@ def test_final_chain(spark):
     assert [r.o for r in got] == [3.0, 5.0]
     got = calibrate.finalise(x, "p", "o", scale=0.5).first()
     assert got.o == pytest.approx(math.log1p(0.5 * math.expm1(1.0)))
+
+
+def test_nearest_of_many_rows_at_one_place(spark):
+    """30,000 rows at one place (and others without coordinates, which lie there too) meet as one place, not as 900 million pairs."""
+    import time
+
+    x = spark.range(30_000).select("id", F.when(F.col("id") % 3 > 0, 10.0).alias("lat"), F.when(F.col("id") % 3 > 0, 20.0).alias("lon"), F.col("id").cast("double").alias("y"))
+    began = time.time()
+    got = {r.id: r.knn for r in knn.mean_target(x, x, 4, exclude_self=True).where("id < 6").collect()}
+    folds = {r.id: (r.knn, r.knn_train) for r in knn.fold_safe(x.withColumn("fold", (F.col("id") % 2).cast("int")), "fold", 2, 4).where("id < 6").collect()}
+    assert time.time() - began < 60
+    want = {i: sum(j for j in range(5) if j != i) / 4 if i < 4 else 1.5 for i in range(6)}
+    assert got == want
+    assert folds == {i: ((1 + 3 + 5 + 7) / 4 if i % 2 == 0 else (0 + 2 + 4 + 6) / 4, want[i]) for i in range(6)}
+
+
+def test_nearest_without_k_rows_in_reach(spark):
+    few = spark.createDataFrame([(i, float(i), 170.0 * (-1) ** i, float(i)) for i in range(3)], "id long, lat double, lon double, y double")
+    got = {r.id: r.knn for r in knn.mean_target(few, few, 20, exclude_self=True).collect()}
+    assert got == {0: 1.5, 1: 1.0, 2: 0.5}
