@@ -141,3 +141,36 @@ def test_bundle_is_stored_and_checked(spark, tmp_path):
         bundle.TextBundle.load(spark, path, tag="two")
     with pytest.raises(FileNotFoundError):
         bundle.TextBundle.load(spark, f"{path}-none")
+
+
+def test_walk_equals_a_plain_descent():
+    import numpy as np
+
+    from larkspur.operators import boost
+
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        bins, feature, cut = rng.integers(0, 64, (5, 300)).astype(np.uint8), rng.integers(-1, 5, 16), rng.integers(0, 64, 16)
+        for levels in range(5):
+            want = []
+            for row in bins.T:
+                node = 1
+                for _ in range(levels):
+                    node = 2 * node + int(feature[node] >= 0 and row[feature[node]] > cut[node])
+                want.append(node)
+            assert boost.walk(bins, feature, cut, levels).tolist() == want
+
+
+def test_few_rounds_store_no_scores(spark):
+    """The scores of many models over few rounds (feature_search) are not stored row by row; errors are those of the scores."""
+    from pyspark.sql import functions as F
+
+    from larkspur.operators import boost
+
+    x = spark.range(400).select("id", (F.col("id") % 20).cast("double").alias("a"), (F.col("id") % 20 * 0.1).alias("y"), (F.col("id") % 2).cast("int").alias("fold"))
+    runs = [boost.Run("quantile", 0.4), boost.Run("huber"), boost.Run("mean")]
+    booster = boost.grown(x, "id", "y", ["a"], runs, ["fold"], 2, 2, 2)
+    assert booster.blocks.agg(F.max(F.length("score"))).first()[0] == 0
+    off = [F.avg(F.abs(F.col("y") - F.get("p", F.lit(i)))) for i in range(3)]
+    want = x.join(booster.scores("id", "p"), "id").agg(*off).first()
+    assert all(abs(a - b) < 1e-9 for a, b in zip(booster.errors(), want))
