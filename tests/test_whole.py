@@ -88,3 +88,14 @@ def test_draws_make_no_row_for_a_key_that_is_not_low(spark):
     drawn = simulate.draws(x, "id", 5)
     assert "Generate" not in drawn._jdf.queryExecution().executedPlan().toString()
     assert drawn.count() == 5 * 4 * 250
+
+
+def test_bundle_makes_its_vocabulary_once(spark, tmp_path):
+    """The vocabulary of a fit is a stored table, and what applies it does not read the fitted texts again."""
+    from larkspur.operators import bundle
+
+    sf = documents(spark, tmp_path, [(i, "alpha beta gamma" if i % 2 else "beta delta alpha") for i in range(8)])
+    x = spark.read.parquet(f"{sf}/documents.parquet")
+    fitted = bundle.TextBundle.fit(x, "doc_id", "text", k=2)
+    assert not any("documents.parquet" in f for f in fitted.vocabulary.inputFiles())
+    assert {r.term for r in fitted.vocabulary.collect()} >= {"gamma", "delta"}
