@@ -280,3 +280,14 @@ def test_nearest_without_k_rows_in_reach(spark):
     few = spark.createDataFrame([(i, float(i), 170.0 * (-1) ** i, float(i)) for i in range(3)], "id long, lat double, lon double, y double")
     got = {r.id: r.knn for r in knn.mean_target(few, few, 20, exclude_self=True).collect()}
     assert got == {0: 1.5, 1: 1.0, 2: 0.5}
+
+
+def test_fold_safe_fills_by_each_folds_reference(spark):
+    """All folds are searched in the same jobs, and equal a search of their own, with medians of their own."""
+    rows = [(i, None if i % 5 == 0 else (i * 7 % 40) / 10, None if i % 5 == 0 else (i * 11 % 30) / 10, float(i * i % 17), i % 3) for i in range(90)]
+    x = spark.createDataFrame(rows, "id long, lat double, lon double, y double, fold int")
+    got = {r.id: (r.knn, r.knn_train) for r in knn.fold_safe(x, "fold", 3, 4).collect()}
+    assert len(got) == 90
+    for i in range(3):
+        for r in knn.mean_target(x.where(x.fold == i), x.where(x.fold != i), 4).collect():
+            assert abs(got[r.id][0] - r.knn) < 1e-9
