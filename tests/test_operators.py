@@ -291,3 +291,35 @@ def test_fold_safe_fills_by_each_folds_reference(spark):
     for i in range(3):
         for r in knn.mean_target(x.where(x.fold == i), x.where(x.fold != i), 4).collect():
             assert abs(got[r.id][0] - r.knn) < 1e-9
+
+
+def test_places_of_many_rows_settle_in_their_own_cell(spark, monkeypatch):
+    """Copies at a place are its neighbours, so the cells around are not searched; lone rows still find what is near."""
+    spots = [(i * 7 % 12 + 0.25, i * 5 % 9 + 0.5) for i in range(36)]
+    rows = [(c * 36 + i, *spots[i]) for c in range(18) for i in range(36)] + [(1000 + j, 0.3 + j, 0.4 + j) for j in range(6)] + [(2000, None, None)]
+    rows = [(i, lat, lon, float(i * i % 101), i % 7 % 3) for i, lat, lon in rows]
+    best, met = knn._best, []
+    monkeypatch.setattr(knn, "_best", lambda pairs, most: met.append(pairs.count()) or best(pairs, most))
+    x = spark.createDataFrame(rows, "id long, lat double, lon double, y double, fold int")
+    got = {r.id: (r.knn, r.knn_train) for r in knn.fold_safe(x, "fold", 3, 4).collect()}
+    assert len(got) == len(rows)
+    assert met[0] < 2 * 4 * len(spots)  # pairs of places in four groups; about nine a place if the cells around are met at once
+
+    def middle(v):
+        return (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2
+
+    def near(row, group):
+        reference = [r for r in rows if r[4] != group]
+        known = [r for r in reference if r[1] is not None]
+        fill = {True: (middle(sorted(r[1] for r in known)), middle(sorted(r[2] for r in known)))}
+        at = lambda r: fill.get(r[1] is None, r[1:3])
+        (p, q), each = at(row), []
+        for r in reference:
+            if r[0] != row[0]:
+                a, b = at(r)
+                h = math.sin(math.radians(a - p) / 2) ** 2 + math.cos(math.radians(p)) * math.cos(math.radians(a)) * math.sin(math.radians(b - q) / 2) ** 2
+                each.append((round(2 * 6371 * math.asin(math.sqrt(min(1, h))), 9), r[0], r[3]))
+        return sum(y for *_, y in sorted(each)[:4]) / 4
+
+    for row in rows[::23] + rows[-7:]:
+        assert abs(got[row[0]][0] - near(row, row[4])) < 1e-9 and abs(got[row[0]][1] - near(row, -1)) < 1e-9
