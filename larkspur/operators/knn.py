@@ -84,7 +84,8 @@ class _Search:
             step = F.explode(F.sequence(F.lit(-ring), F.lit(ring)))
             around = left.withColumn("dx", step).withColumn("dy", step).withColumns({"cx": F.col("cx") + F.col("dx"), "cy": F.col("cy") + F.col("dy")})
             final = (F.size("near") == self.most) & (F.element_at("near", -1)["km"] + SLACK_KM < _reach(size, ring))
-            settled = stored(_best(around.join(ref, ["g", "cx", "cy"]), self.most).where(final), "knn-near")
+            # Spark's size of ``around`` leaves out the explode: it would be sent whole to the tasks of ``ref``, often one.
+            settled = stored(_best(around.join(ref.hint("merge"), ["g", "cx", "cy"]), self.most).where(final), "knn-near")
             done.append(settled)
             left = stored(left.join(settled.select("p"), "p", "left_anti"), "knn-left")
             if left.isEmpty():
@@ -118,7 +119,7 @@ def _by_parts(left: DataFrame, spots: DataFrame, most: int) -> DataFrame:
     parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     each = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     dealt = spots.withColumn("part", F.pmod(F.xxhash64("rlat", "rlon"), F.lit(parts)).cast("int"))
-    return _best(each.join(dealt, ["g", "part"]), most)
+    return _best(each.join(dealt.hint("merge"), ["g", "part"]), most)
 
 
 def _one(x: DataFrame) -> DataFrame:

@@ -323,3 +323,12 @@ def test_places_of_many_rows_settle_in_their_own_cell(spark, monkeypatch):
 
     for row in rows[::23] + rows[-7:]:
         assert abs(got[row[0]][0] - near(row, row[4])) < 1e-9 and abs(got[row[0]][1] - near(row, -1)) < 1e-9
+
+
+def test_places_times_cells_are_not_broadcast(spark, monkeypatch):
+    """Spark's size of the places leaves out the cells around each, so it would send them whole to one task of the reference."""
+    best, plans = knn._best, []
+    monkeypatch.setattr(knn, "_best", lambda pairs, most: plans.append(pairs._jdf.queryExecution().executedPlan().toString()) or best(pairs, most))
+    x = spark.createDataFrame([(i, i * 7 % 40 / 10, i * 11 % 30 / 10, float(i)) for i in range(60)], "id long, lat double, lon double, y double")
+    assert knn.mean_target(x, x, 4, exclude_self=True).count() == 60
+    assert plans and not any("Broadcast" in p for p in plans)
