@@ -174,3 +174,19 @@ def test_few_rounds_store_no_scores(spark):
     off = [F.avg(F.abs(F.col("y") - F.get("p", F.lit(i)))) for i in range(3)]
     want = x.join(booster.scores("id", "p"), "id").agg(*off).first()
     assert all(abs(a - b) < 1e-9 for a, b in zip(booster.errors(), want))
+
+
+def test_search_takes_all_rounds_and_seeds(spark, monkeypatch):
+    """feature_search fits its 44 configurations as the other queries fit theirs; its error is the mean over seeds."""
+    from larkspur.plans import learning
+
+    seen, x = [], table(spark)[0]
+    monkeypatch.setattr(learn, "grown", lambda x, id_, label, features, runs, seeds, folds, rounds, depth: seen.append((len(runs), seeds, folds, rounds)) or boost.Booster.__new__(boost.Booster))
+    monkeypatch.setattr(boost.Booster, "errors", lambda self: [0.5] * 44)
+    assert learning.feature_search(spark, "/root/testdata/sf0.001").count() == 44
+    assert seen == [(44, learning.FOLD_COLUMNS, learning.FOLDS, learn.ROUNDS)] and len(learning.FOLD_COLUMNS) == 3
+    monkeypatch.undo()
+    x = x.withColumn("other", ((F.col("id") * 7) % 4).cast("int"))
+    config = {"q": learn.Run("quantile", 0.4)}
+    each = [learn.search(x, c, 4, "y", config, ["a", "b"], rounds=2)[0][1] for c in ("fold", "other")]
+    assert abs(learn.search(x, ["fold", "other"], 4, "y", config, ["a", "b"], rounds=2)[0][1] - sum(each) / 2) < 1e-9
