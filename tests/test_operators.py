@@ -332,3 +332,28 @@ def test_places_times_cells_are_not_broadcast(spark, monkeypatch):
     x = spark.createDataFrame([(i, i * 7 % 40 / 10, i * 11 % 30 / 10, float(i)) for i in range(60)], "id long, lat double, lon double, y double")
     assert knn.mean_target(x, x, 4, exclude_self=True).count() == 60
     assert plans and not any("Broadcast" in p for p in plans)
+
+
+def test_vocabulary_counts_no_pair_of_rare_words(spark, monkeypatch):
+    """Terms are those of plain counts, by words with marks too; pairs with a word that is too rare are not counted."""
+    import random
+    from collections import Counter
+
+    from larkspur.operators import texts as ops
+
+    rng = random.Random(4)
+    words = ["the", "café", "Σας", "İzmir", "a_1", "naïve", "x", *[f"w{i}" for i in range(60)]]
+    rows = [(i, None if i == 7 else " ".join(rng.choice(words[: 8 + i % 59]) for _ in range(rng.randrange(60)))) for i in range(80)]
+    x = spark.createDataFrame(rows, "id long, t string")
+    plain = {r.id: list(r.w) for r in x.select("id", ops.tokens(F.col("t")).alias("w")).collect()}
+    assert plain == {i: ops.words_of(t) for i, t in rows}
+    grams = {i: w + [f"{a} {b}" for a, b in zip(w, w[1:])] for i, w in plain.items()}
+    total, df = (Counter(t for g in grams.values() for t in f(g)) for f in (list, set))
+    want = sorted((t for t in total if 3 <= df[t] <= 0.98 * 80), key=lambda t: (-total[t], t))
+    sent, counted = [], ops._counted
+    monkeypatch.setattr(ops, "_counted", lambda *a: sent.append(counted(*a)) or sent[-1])
+    for most in (12, 40, 5000):
+        assert sorted(r.term for r in ops.vocabulary(x, "t", most=most).collect()) == sorted(want[:most])
+    assert sent[1].count() < 150 < sum(" " in t for t in total)
+    got = {(r.id, r.term) for r in ops.weigh(x, "id", "t", ops.vocabulary(x, "t", most=40)).collect()}
+    assert got == {(i, t) for i, g in grams.items() for t in set(g) & set(want[:40])}
